@@ -201,11 +201,12 @@ def redact_pii(df: DataFrame, text_col: str = "text", n_chars_col: str | None =
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the personal data in every text of ``documents``."""
     spans = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long")
     text = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
     base = F.filter("spans", lambda s: s.kind.isin(*BASE_KINDS))
     return spans.select(
         "doc_id",
-        *[F.size(F.filter("spans", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS],
+        *[count(k).alias(f"n_{k}") for k in BASE_KINDS],
         F.sha2(text(base), 256).alias("base_sha256"),
         text(F.col("spans")).alias("spans"),
     )

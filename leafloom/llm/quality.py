@@ -42,8 +42,8 @@ class Bands:
 
     level: int = 3
     chunk_bytes: int = 4096
-    whole: tuple[tuple[float, float, float], ...] = ((128, 0.50, 1.60), (512, 0.50, 1.05), (2048, 0.44, 0.95), (8192, 0.405, 0.85), (float("inf"), 0.385, 0.80))
-    chunk: tuple[float, float] = (0.30, 0.85)
+    whole: tuple[tuple[float, float, float], ...] = ((128, 0.50, 1.60), (512, 0.50, 1.05), (2048, 0.44, 0.90), (8192, 0.405, 0.72), (float("inf"), 0.385, 0.70))
+    chunk: tuple[float, float] = (0.30, 0.72)
     bad_chunk_share: float = 0.5
 
 
