@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from leafloom.llm import textops
 from leafloom.llm.shared import Workspace
-from leafloom.llm.tokens import END_ID, WordIds
+from leafloom.llm.tokens import END_ID, word_ids
 
 CAPACITY = 4096
 
@@ -49,11 +49,11 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end, step = WordIds(tokenizer), np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
+        coder, end, step = word_ids(tokenizer), np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
-            for part in textops.slices(batch, 1):
+            for part in textops.slices(batch, 1, 1_000_000):
                 rows: list[tuple] = []
-                for at, packed in enumerate(coder.pack([(t or "").encode() for t in part.column(1).to_pylist()])):
+                for at, packed in enumerate(coder.pack([t or "" for t in part.column(1).to_pylist()])):
                     packed += end
                     for k, i in enumerate(range(0, len(packed), step)):
                         one = packed[i : i + step]

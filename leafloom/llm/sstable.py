@@ -40,13 +40,13 @@ from pyspark.sql import functions as F
 
 from leafloom.llm import textops
 from leafloom.llm.shared import Workspace
-from leafloom.llm.tokens import END_ID, WordIds
+from leafloom.llm.tokens import END_ID, word_ids
 
 MAGIC = b"LEAFSST1"
 _FOOTER = struct.Struct("<QQQQQQI4x8s")
 _INDEX = struct.Struct("<HQQQQ")
 BLOCK_BYTES = 64 << 10
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 8 << 20
 _PROBES = 7
 
 
@@ -213,8 +213,8 @@ def write_shards(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, k = WordIds(tokenizer), TaskContext.get().partitionId(), 0
-        width = 2 if max(coder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        coder, part, k = word_ids(tokenizer), TaskContext.get().partitionId(), 0
+        width = 2 if max(coder.size, end_id + 1) <= 1 << 16 else 4
         end = np.array([end_id], dtype=f"<u{width}").tobytes()
         shard = ShardWriter(width)
 
@@ -224,8 +224,8 @@ def write_shards(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
             return pa.RecordBatch.from_pydict({"shard": [name], "n_docs": [len(shard.keys)], "n_ids": [shard.n_ids]})
 
         for batch in batches:
-            for rows in textops.slices(batch, 1):
-                packed = coder.pack([(t or "").encode() for t in rows.column(1).to_pylist()])
+            for rows in textops.slices(batch, 1, 1_000_000):
+                packed = coder.pack([t or "" for t in rows.column(1).to_pylist()])
                 for doc_id, ids in zip(rows.column(0).to_pylist(), packed, strict=True):
                     value = ids if width == 4 else np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes()
                     shard.add(key_of(doc_id), value + end)

@@ -1,50 +1,112 @@
 """Tokenizers for whole texts, with bounded memory.
 
-``WordIds`` runs the ``tokenizers`` library on words rather than texts. Its
-vocabulary files drop white space and mark word ends, so the ids of a text
-are those of its ASCII-space-separated words in order; words recur, and a
-bounded cache of packed ids spares most of the work. ``RankIds`` runs
-``tiktoken``, a long text being cut where no match can span the cut.
+``WordIds`` runs the ``tokenizers`` library on the pre-tokens of a text
+rather than on the text: the vocabulary file encodes each pre-token by
+itself, pre-tokens recur, and a bounded cache of packed ids spares most of
+the work. ``RankIds`` runs ``tiktoken``, a long text being cut where no
+match can span the cut. A worker keeps one of each for all its tasks.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 import re
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
-import tiktoken
-from tokenizers import Tokenizer
+
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
 #: Default vocabulary files; every operator takes another path as a parameter.
 WORD_FILE = "word_bpe_49k.json"
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 END_ID = 1
 
+#: Texts of ASCII and Latin-1 letters: folding and composition change no other character and no length.
+_SIMPLE = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+#: The file's pre-tokenizer, for folded texts of that kind.
+_RUNS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
-class WordIds:
-    """Token ids, as little-endian unsigned 32-bit integers, of UTF-8 texts."""
 
-    def __init__(self, path: str | None = None, cache: int = 300_000) -> None:
-        self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(WORD_FILE))
-        self.limit, self.cache = cache, {}
+class _Recent(dict):
+    """A map of bounded size: a full one becomes the older half, from which hits come back."""
+
+    def __init__(self, limit: int) -> None:
+        super().__init__()
+        self.limit, self.older = limit // 2, {}
 
-    def pack(self, texts: list[bytes]) -> list[bytes]:
+    def unknown(self, keys: set) -> set:
+        """Those of the keys that are nowhere; when they are added, all the keys are in the newer half."""
+        missing = keys - self.keys()
+        if len(self) + len(missing) > self.limit:
+            self.older = dict(self)
+            self.clear()
+            missing = keys
+        back = missing & self.older.keys()
+        self.update((key, self.older[key]) for key in back)
+        return missing - back
+
+
+class WordIds:
+    """Token ids, as little-endian unsigned 32-bit integers, of texts.
+
+    Pre-tokens that the cache lacks go to the library a thousand at a time,
+    parted by spaces, through the file's model without the normalising steps
+    that they have been through; the ids are cut after each word-end token.
+    Texts with other characters than ``_SIMPLE`` go through the whole file,
+    word by word.
+    """
+
+    def __init__(self, path: str | None = None, cache: int = 500_000) -> None:
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        path = path or public_tokenizers.path(WORD_FILE)
+        self.tokenizer, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.size = max(vocabulary.values()) + 1
+        self.ends = np.zeros(self.size, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.runs, self.words = _Recent(cache), _Recent(cache // 10)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn(self, needed: set[str]) -> None:
+        unknown = iter(self.runs.unknown(needed))
+        while part := list(islice(unknown, 1000)):
+            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part) and cuts[-1] == len(ids):
+                data, at = ids.tobytes(), 0
+                for run, to in zip(part, (4 * cuts).tolist(), strict=True):
+                    self.runs[run] = data[at:to]
+                    at = to
+            else:  # an added token's text stands among them, or the file marks no word ends
+                self.runs.update((run, self._whole(run)) for run in part)
+
+    def _other(self, text: str) -> bytes:
+        """Any text; ASCII white space parts words in every step of the file."""
+        words = text.encode().split()
+        for word in self.words.unknown(set(words)):
+            self.words[word] = self._whole(word.decode())
+        return b"".join(map(self.words.__getitem__, words))
+
+    def pack(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        split = [t.split() for t in texts]  # bytes split on ASCII white space only
-        missing = set().union(*split) - self.cache.keys() if split else set()
-        if missing:
-            if len(self.cache) + len(missing) > self.limit:
-                self.cache.clear()
-                missing = set().union(*split)
-            words = list(missing)
-            for i in range(0, len(words), 20_000):
-                part = words[i : i + 20_000]
-                for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    self.cache[word] = np.array(found.ids, dtype="<u4").tobytes()
-        get = self.cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        runs = [_RUNS.findall(t.lower()) if _SIMPLE.fullmatch(t) and "<|" not in t else None for t in texts]
+        self._learn(set().union(*(r for r in runs if r)))
+        get = self.runs.__getitem__
+        return [self._other(t) if r is None else b"".join(map(get, r)) for t, r in zip(texts, runs, strict=True)]
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str | None = None) -> WordIds:
+    return WordIds(path)
 
 
 #: A printable ASCII character and then a space or line feed: no match of the pattern has white space after anything else.
@@ -55,6 +117,8 @@ class RankIds:
     """Byte-pair ids by a file of ranks, without special tokens."""
 
     def __init__(self, path: str | None = None, pattern: str | None = None, cut: int = 50_000) -> None:
+        import tiktoken
+
         with open(path or public_tokenizers.path(RANK_FILE), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.encoding = tiktoken.Encoding("leafloom", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -74,3 +138,8 @@ class RankIds:
 
     def decode(self, ids: list[int]) -> bytes:
         return self.encoding.decode_bytes(ids)
+
+
+@lru_cache(maxsize=1)
+def rank_ids(path: str | None = None, pattern: str | None = None) -> RankIds:
+    return RankIds(path, pattern)
