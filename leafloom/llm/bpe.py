@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafloom.llm import textops
-from leafloom.llm.tokens import RankIds
+from leafloom.llm.tokens import rank_ids
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -22,9 +22,9 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks:
     schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = RankIds(ranks, pattern)
+        coder = rank_ids(ranks, pattern)
         for batch in batches:
-            for part in textops.slices(batch, 1):
+            for part in textops.slices(batch, 1, 1_000_000):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([coder.encode(t or "") for t in part.column(1).to_pylist()], type=pa.list_(pa.int32()))], [id_col, "ids"])
 
     return df.select(id_col, text_col).mapInArrow(run, schema)
@@ -37,7 +37,7 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "bytes", ranks: s
     types = ", ".join(f"`{out_col}` binary" if c == ids_col else f"`{c}` {df.schema[c].dataType.simpleString()}" for c in schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = RankIds(ranks)
+        coder = rank_ids(ranks)
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
@@ -47,11 +47,24 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "bytes", ranks: s
     return df.mapInArrow(run, types)
 
 
+def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, pattern: str | None = None) -> DataFrame:
+    """id, ids array<int>, bytes binary: both directions in one pass, so that one worker a task holds the ranks."""
+    schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, ids array<int>, bytes binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = rank_ids(ranks, pattern)
+        for batch in batches:
+            for part in textops.slices(batch, 1, 1_000_000):
+                ids = [coder.encode(t or "") for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, type=pa.list_(pa.int32())), pa.array(map(coder.decode, ids), type=pa.binary())], [id_col, "ids", "bytes"])
+
+    return df.select(id_col, text_col).mapInArrow(run, schema)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every text of ``documents`` and of the bytes they decode to."""
-    coded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    sized = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids")
-    return decode(sized).select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+    coded = encode_decode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
 QUERIES = {"op8_bpe": op8_bpe}
