@@ -51,7 +51,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end, step = word_ids(tokenizer), np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
-            for part in textops.slices(batch, 1, 1_000_000):
+            for part in textops.slices(batch, 1, 3_000_000):
                 rows: list[tuple] = []
                 for at, packed in enumerate(coder.pack([t or "" for t in part.column(1).to_pylist()])):
                     packed += end

@@ -224,7 +224,7 @@ def write_shards(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
             return pa.RecordBatch.from_pydict({"shard": [name], "n_docs": [len(shard.keys)], "n_ids": [shard.n_ids]})
 
         for batch in batches:
-            for rows in textops.slices(batch, 1, 1_000_000):
+            for rows in textops.slices(batch, 1, 3_000_000):
                 packed = coder.pack([t or "" for t in rows.column(1).to_pylist()])
                 for doc_id, ids in zip(rows.column(0).to_pylist(), packed, strict=True):
                     value = ids if width == 4 else np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes()
