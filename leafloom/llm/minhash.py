@@ -14,10 +14,10 @@
    on their full sets; links give components.
 5. What is left are groups whose members lie in several components. There,
    members outside the largest component are compared, in blocks, with all
-   members of other components by their sketches; the best pair of two
-   components is checked first, then all others whose components still
-   differ. So no link between components goes unchecked, and no group is
-   expanded into all its pairs.
+   members of other components: sizes and estimates first, then full sets, by
+   products of incidence matrices. Only links become rows, one for each
+   component that a member reaches. So no link between components goes
+   unchecked, and no group is expanded into all its pairs.
 
 Defined results: texts without words have no shingles and are linked with
 nothing; rows with the same id are one document, linked by any of its
@@ -44,7 +44,7 @@ BUCKETS = 1 << BUCKET_BITS
 #: Expected share of chance agreements of two registers (the sketch's published constant).
 COLLISION = 0.169919487159739093975315012348630288992 / (1 << MANTISSA_BITS)
 PROBES = 256
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 512
 _probe = np.random.default_rng(7).integers(0, BUCKETS, (PROBES, BUCKETS))
 
 
@@ -173,9 +173,10 @@ def agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _least(n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
-    """The least estimate worth a check: six deviations under the threshold; none for small sets, whose registers are not independent."""
+    """The least estimate worth a check: six deviations under the threshold, with as many independent registers as the smaller set fills."""
     t = percent / 100
-    return np.where(np.minimum(n_a, n_b) < 4 * BUCKETS, -1.0, t - 6 * (t * (1 - t) / BUCKETS) ** 0.5)
+    filled = BUCKETS * -np.expm1(-np.minimum(n_a, n_b) / BUCKETS)
+    return t - 6 * np.sqrt(t * (1 - t) / filled)
 
 
 def _sizes_allow(n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
@@ -209,42 +210,69 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * shared >= percent * (F.size("s_a") + F.size("s_b") - shared)).select("a", "b").distinct()
 
 
-def _compared(groups: DataFrame, percent: int) -> DataFrame:
-    """a, b, ca, cb, est of promising pairs between different components of each group.
+def _linked_blocks(members: DataFrame, percent: int) -> DataFrame:
+    """a, b: links between different components of each group, one of a row to each component it reaches.
 
-    ``groups``: key, id, comp, n, regs, out (not of the group's largest component), size, n_out.
-    Members and outsiders are dealt to blocks; a group of rows holds one block of each.
+    ``members``: hub, id, comp, s, n, regs, out (not of the group's largest component), size, n_out.
+    Outsiders and members are dealt to blocks; a task sees one block of each and compares all
+    of the one with all of the other: sizes and estimates first, then whole sets, as products
+    of incidence matrices over the shingles that both blocks hold.
     """
     deal = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.ceil(F.col(n) / BLOCK_ROWS)).cast("int")
     every = lambda n: F.sequence(F.lit(0), (F.ceil(F.col(n) / BLOCK_ROWS) - 1).cast("int"))
-    rows = ["key", "id", "comp", "n", "regs"]
-    outside = groups.filter("out").select(*rows, F.lit(True).alias("asks"), deal("n_out", 1).alias("x"), F.explode(every("size")).alias("y"))
-    inside = groups.select(*rows, F.lit(False).alias("asks"), F.explode(every("n_out")).alias("x"), deal("size", 2).alias("y"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ca", pa.int64()), ("cb", pa.int64()), ("est", pa.float64())])
+    rows = ["hub", "id", "comp", "n", "regs", "s"]
+    outside = members.filter("out").select(*rows, F.lit(True).alias("asks"), deal("n_out", 1).alias("x"), F.explode(every("size")).alias("y"))
+    inside = members.select(*rows, F.lit(False).alias("asks"), F.explode(every("n_out")).alias("x"), deal("size", 2).alias("y"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        col = lambda t, c: t.column(c).to_numpy()
         asks = table.column("asks").to_numpy()
-        one, two = table.filter(pa.array(asks)), table.filter(pa.array(~asks))
-        found = []
-        if one.num_rows and two.num_rows:
-            regs, n, comp, ids = _regs(two.column("regs")), col(two, "n"), col(two, "comp"), col(two, "id")
-            for r, n1, c1, i1 in zip(_regs(one.column("regs")), col(one, "n"), col(one, "comp"), col(one, "id"), strict=True):
-                maybe = np.flatnonzero((comp != c1) & _sizes_allow(n, n1, percent))
-                if len(maybe):
-                    est = agreements(regs[maybe], r)
-                    ok = est >= _least(n[maybe], n1, percent)
-                    at = maybe[ok]
-                    if len(at):
-                        swap = ids[at] > i1
-                        pick = lambda x, y, swap=swap: np.where(swap, x, y)
-                        found.append(np.rec.fromarrays([pick(ids[at], i1), pick(i1, ids[at]), pick(comp[at], c1), pick(c1, comp[at]), est[ok]], names="a,b,ca,cb,est"))
-        if not found:
-            return schema.empty_table()
-        every = np.concatenate(found)
-        return pa.table([pa.array(np.ascontiguousarray(every[c])) for c in schema.names], schema=schema)
-
-    return outside.unionAll(inside).groupBy("key", "x", "y").applyInArrow(run, "a long, b long, ca long, cb long, est double")
+        one, two = (_Block(table.filter(pa.array(m))) for m in (asks, ~asks))
+        found: list[tuple[int, int]] = []
+        if len(one.ids) and len(two.ids):
+            maybe = (one.comp[:, None] != two.comp[None, :]) & _sizes_allow(one.n[:, None], two.n[None, :], percent)
+            for i in np.flatnonzero(maybe.any(axis=1)):
+                j = np.flatnonzero(maybe[i])
+                maybe[i, j] = agreements(two.regs[j], one.regs[i]) >= _least(two.n[j], one.n[i], percent)
+            shared = one.shared_with(two, maybe.any(axis=1), maybe.any(axis=0))
+            linked = maybe & (100 * shared >= percent * (one.n[:, None] + two.n[None, :] - shared))
+            for i in np.flatnonzero(linked.any(axis=1)):
+                j = np.flatnonzero(linked[i])
+                for k in j[np.unique(two.comp[j], return_index=True)[1]]:
+                    found.append((max(one.ids[i], two.ids[k]), min(one.ids[i], two.ids[k])))
+        return pa.table([pa.array([f[i] for f in found], type=pa.int64()) for i in (0, 1)], schema=schema)
+
+    return outside.unionAll(inside).groupBy("hub", "x", "y").applyInArrow(run, "a long, b long").distinct()
+
+
+class _Block:
+    """Rows of one block as arrays; the sets as one run of shingles."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.ids, self.comp, self.n = (table.column(c).to_numpy() for c in ("id", "comp", "n"))
+        self.regs = _regs(table.column("regs"))
+        lists = table.column("s").combine_chunks()
+        self.items = lists.flatten().to_numpy()
+        self.row = np.repeat(np.arange(len(self.ids)), lists.value_lengths().to_numpy(zero_copy_only=False))
+
+    def shared_with(self, other: "_Block", rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of the marked rows with the marked ones of the other block."""
+        out = np.zeros((len(self.ids), len(other.ids)), dtype=np.float32)
+        mine, theirs = rows[self.row], columns[other.row]
+        both = np.intersect1d(self.items[mine], other.items[theirs])
+        for at in range(0, len(both), 4096):
+            part = both[at : at + 4096]
+            out += _incidence(self, mine, part) @ _incidence(other, theirs, part).T
+        return out
+
+
+def _incidence(block: _Block, marked: np.ndarray, part: np.ndarray) -> np.ndarray:
+    items, row = block.items[marked], block.row[marked]
+    at = np.minimum(np.searchsorted(part, items), len(part) - 1)
+    hit = part[at] == items
+    out = np.zeros((len(block.ids), len(part)), dtype=np.float32)
+    out[row[hit], at[hit]] = 1
+    return out
 
 
 def near_duplicates(df: DataFrame, space: Workspace, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -270,18 +298,14 @@ def near_duplicates(df: DataFrame, space: Workspace, id_col: str = "doc_id", tex
     links = space.written(_links(_promising(first, reps, percent), sets, percent).unionAll(own), "links")
     comp = components(links, space, "comp-a")
 
-    for k in ("best", "rest"):
-        placed = groups.select("key", "id").distinct().join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-        parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-        split = parts.groupBy("key").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-        split = split.select("key", F.col("top.comp").alias("top"), "size", (F.col("size") - F.col("top.c")).alias("n_out"))
-        left = placed.join(split, "key").join(reps, "id").select("key", "id", "comp", "n", "regs", (F.col("comp") != F.col("top")).alias("out"), "size", "n_out")
-        pairs = _compared(left, percent)
-        if k == "best":
-            pairs = pairs.groupBy("ca", "cb").agg(F.max(F.struct("est", "a", "b")).alias("m")).select("m.a", "m.b")
-        pairs = pairs.select("a", "b").distinct()
-        links = space.written(links.unionAll(_links(pairs, sets, percent)).distinct(), f"links-{k}")
-        comp = components(links, space, f"comp-{k}")
+    # two classes that share a band share its group's hub, so what is left lies among the members of one hub
+    placed = groups.select("hub", "id").distinct().join(comp.withColumnRenamed("node", "id"), "id", "left").select("hub", "id", F.coalesce("component", "id").alias("comp"))
+    parts = placed.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("c"))
+    split = parts.groupBy("hub").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    split = split.select("hub", F.col("top.comp").alias("top"), "size", (F.col("size") - F.col("top.c")).alias("n_out"))
+    left = placed.join(split, "hub").join(reps, "id").join(sets, "id").select("hub", "id", "comp", F.size("s").cast("long").alias("n"), "regs", "s", (F.col("comp") != F.col("top")).alias("out"), "size", "n_out")
+    more = space.written(_linked_blocks(left, percent), "links-more")
+    comp = components(links.unionAll(more), space, "comp-b")
 
     labels = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(*equal, F.coalesce("component", "rep").alias("component"))
     out = docs.select("id", *equal).join(labels, equal, "left")
