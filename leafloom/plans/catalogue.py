@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafloom.plans import audits, comparisons, documents, records, web
+from leafloom.plans import audits, comparisons, documents, files, records, web
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for _module in (documents, audits, comparisons, web, records):
+for _module in (documents, audits, comparisons, web, records, files):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)

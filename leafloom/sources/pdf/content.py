@@ -227,7 +227,7 @@ class State:
     mode: int = 0
 
 
-@dataclass
+@dataclass(slots=True)
 class Glyph:
     op: int
     code: bytes
@@ -236,7 +236,6 @@ class Glyph:
     y: float
     width: float
     height: float
-    end: tuple[float, float]
     advance: float
     font: str
     size: float
@@ -344,24 +343,27 @@ class Interpreter:
     def _image(self, s: State, d: dict, name: str | None, index: int, depth: int) -> None:
         x, y, w, h = box_of(s.ctm, 0, 0, 1, 1)
         get = lambda long, short: self.doc.resolve(d.get(long, d.get(short)))
-        self.out.images.append({"op": index if depth == 0 else -1, "name": name, "x": x, "y": y, "width": w, "height": h, "pixels_wide": get("Width", "W"), "pixels_high": get("Height", "H")})
+        self.out.images.append({"op": index if depth == 0 else -1, "ctm": s.ctm, "name": name, "x": x, "y": y, "width": w, "height": h, "pixels_wide": get("Width", "W"), "pixels_high": get("Height", "H")})
 
     def _show(self, raw: bytes, tm: Matrix, s: State, index: int, depth: int) -> Matrix:
         if s.font is None:
             return tm
-        run: list[Glyph] = []
+        a, b, c, d, e, f = times(tm, s.ctm)
+        ux, uy, vx, vy = s.size * s.scale * a, s.size * s.scale * b, s.size * c, s.size * d  # one em along and up
+        em = abs(s.size) * abs(ux * vy - uy * vx) ** 0.5 / abs(s.size) if s.size else 0.0
+        low_x, low_y, high_x, high_y = self.DESCENT * vx, self.DESCENT * vy, self.ASCENT * vx, self.ASCENT * vy
+        op, name, moved, run = index if depth == 0 else -1, s.font.name, 0.0, []
         for code, piece in s.font.codes(raw):
             w = s.font.advance(code)
-            m = times((s.size * s.scale, 0, 0, s.size, 0, s.rise), times(tm, s.ctm))
-            x, y, bw, bh = box_of(m, 0, self.DESCENT, w, self.ASCENT)
+            x, y, wx, wy = e + moved * a + s.rise * c, f + moved * b + s.rise * d, w * ux, w * uy
+            left, bottom = x + min(low_x, high_x) + min(0, wx), y + min(low_y, high_y) + min(0, wy)
             shift = (w * s.size + s.char + (s.word if piece == b" " else 0)) * s.scale
-            tm = times((1, 0, 0, 1, shift, 0), tm)
-            size = s.size * abs(m[0] * m[3] - m[1] * m[2]) ** 0.5 / abs(s.size) if s.size else 0
-            run.append(Glyph(index if depth == 0 else -1, piece, s.font.text(code), x, y, bw, bh, at(times(tm, s.ctm), 0, 0), shift, s.font.name, abs(size), s.mode))
+            moved += shift
+            run.append(Glyph(op, piece, s.font.text(code), left, bottom, abs(high_x - low_x) + abs(wx), abs(high_y - low_y) + abs(wy), shift, name, em, s.mode))
         if run:
             self.out.glyphs += run
             self.out.runs.append(run)
-        return tm
+        return times((1, 0, 0, 1, moved, 0), tm)
 
 
 def page_text(glyphs: list[Glyph]) -> str:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import os
 
 from leafloom.sources.pdf.errors import PdfError
-from leafloom.sources.pdf.lexer import Stream
+from leafloom.sources.pdf.lexer import Name, Stream
 
 #: Fixed padding of passwords.
 PAD = bytes.fromhex("28BF4E5E4E758A4164004E56FFFA01082E2E00B6D0683E802F0CA9FE6453697A")
@@ -213,3 +214,35 @@ class Security:
             plain = kind == "XRef" or kind == "Metadata" and self.open_metadata
             return Stream(d, x.raw if plain else self.bytes_of(x.raw, num, gen))
         return x
+
+
+class Lock:
+    """Encryption on writing: AES with a key of 256 bits, revision 6."""
+
+    def __init__(self, user: str, owner: str | None = None, rights: int = -4) -> None:
+        self.key, self.id = os.urandom(32), os.urandom(16)
+        self.entries = {"Filter": Name("Standard"), "V": 5, "R": 6, "Length": 256, "P": rights, "CF": {"StdCF": {"CFM": Name("AESV3"), "AuthEvent": Name("DocOpen"), "Length": 32}}, "StmF": Name("StdCF"), "StrF": Name("StdCF")}
+        extra = b""
+        for name, wrapped, password in (("U", "UE", user), ("O", "OE", owner or user)):
+            p, salts = password.encode()[:127], os.urandom(16)
+            self.entries[name] = hardened(p, salts[:8], extra, 6) + salts
+            self.entries[wrapped] = cbc_encrypt(hardened(p, salts[8:], extra, 6), self.key, bytes(16))
+            extra = self.entries["U"]
+        plain = (rights & 0xFFFFFFFF).to_bytes(4, "little") + b"\xff\xff\xff\xffTadb" + os.urandom(4)
+        self.entries["Perms"] = Aes(self.key).encrypt(plain)
+
+    def _bytes(self, data: bytes) -> bytes:
+        n, iv = 16 - len(data) % 16, os.urandom(16)
+        return iv + cbc_encrypt(self.key, data + bytes([n]) * n, iv)
+
+    def closed(self, x):
+        """An object with its strings and data encrypted."""
+        if isinstance(x, bytes):
+            return self._bytes(x)
+        if isinstance(x, list):
+            return [self.closed(v) for v in x]
+        if isinstance(x, dict):
+            return {k: self.closed(v) for k, v in x.items()}
+        if isinstance(x, Stream):
+            return Stream(self.closed(x.dict), self._bytes(x.raw))
+        return x

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from leafloom.sources.pdf.content import Glyph, Interpreter, operations
+from leafloom.sources.pdf.content import Glyph, Interpreter, operations, page_text
 from leafloom.sources.pdf.document import Document, Page
 from leafloom.sources.pdf.errors import PdfError
 from leafloom.sources.pdf.lexer import Name, Ref, Stream
@@ -44,7 +44,7 @@ def rotate(doc: Document, degrees: int, numbers: Sequence[int] = ()) -> bytes:
         raise PdfError("a rotation is a multiple of 90")
     pages = _pages(doc)
     turned = set(_wanted(pages, numbers, True))
-    return assembled(pages, {i: {"Rotate": (p.rotation + degrees) % 360} for i, p in enumerate(pages) if p.number in turned})
+    return assembled(pages, {i: {"Rotate": (p.rotation + degrees) % 360} for i, p in enumerate(pages) if p.number in turned}, keep=doc)
 
 
 def merge(docs: Sequence[Document]) -> bytes:
@@ -78,7 +78,7 @@ def add_text(doc: Document, places: Sequence[tuple[int, float, float, str]], siz
         resources, name = _with_font(page, font)
         draw = b"".join(operation("BT", []) + operation("Tf", [Name(name), size]) + operation("rg", list(colour)) + operation("Td", [x, y]) + operation("Tj", [text.encode("cp1252", "replace")]) + operation("ET", []) for _, x, y, text in own)
         changes[i] = {"Resources": resources, "Contents": _wrapped(page, draw)}
-    return assembled(pages, changes)
+    return assembled(pages, changes, keep=doc)
 
 
 def labels(doc: Document, prefix: str = "", suffix: str = "", start: int = 1, digits: int = 6, numbers: Sequence[int] = (), corner: str = "BottomRight", size: float = 10) -> tuple[bytes, list[str]]:
@@ -114,7 +114,7 @@ def watermark(doc: Document, text: str, opacity: float = 0.3, numbers: Sequence[
         m = [c, s, -s, c, (x0 + x1) / 2 - half * c, (y0 + y1) / 2 - half * s]
         draw = operation("q", []) + operation("gs", [Name("LW")]) + operation("BT", []) + operation("Tf", [Name(name), size]) + operation("g", [0.5]) + operation("Tm", m) + operation("Tj", [text.encode("cp1252", "replace")]) + operation("ET", []) + operation("Q", [])
         changes[i] = {"Resources": resources, "Contents": _wrapped(page, draw)}
-    return assembled(pages, changes)
+    return assembled(pages, changes, keep=doc)
 
 
 def draw_boxes(doc: Document, boxes: Sequence[tuple[int, Box]], colour: tuple = (1, 1, 0), blend: str = "Multiply") -> bytes:
@@ -127,7 +127,7 @@ def draw_boxes(doc: Document, boxes: Sequence[tuple[int, Box]], colour: tuple =
             resources["ExtGState"] = {**doc.dict_of(resources, "ExtGState"), "LB": {"BM": Name(blend)}}
             draw = operation("q", []) + operation("gs", [Name("LB")]) + operation("rg", list(colour)) + b"".join(operation("re", list(b)) for b in own) + operation("f", []) + operation("Q", [])
             changes[i] = {"Resources": resources, "Contents": _wrapped(page, draw)}
-    return assembled(pages, changes)
+    return assembled(pages, changes, keep=doc)
 
 
 def ink(doc: Document, page_number: int, points: Sequence[tuple[float, float]], width: float = 2, colour: tuple = (0, 0, 0)) -> bytes:
@@ -137,7 +137,7 @@ def ink(doc: Document, page_number: int, points: Sequence[tuple[float, float]],
     pages = _pages(doc)
     path = [*points, points[0]] if len(points) == 1 else list(points)
     draw = operation("q", []) + operation("J", [1]) + operation("j", [1]) + operation("w", [width]) + operation("RG", list(colour)) + operation("m", list(path[0])) + b"".join(operation("l", list(p)) for p in path[1:]) + operation("S", []) + operation("Q", [])
-    return assembled(pages, {page_number - 1: {"Contents": _wrapped(pages[page_number - 1], draw)}})
+    return assembled(pages, {page_number - 1: {"Contents": _wrapped(pages[page_number - 1], draw)}}, keep=doc)
 
 
 # -- redaction
@@ -241,7 +241,7 @@ def redact(doc: Document, regions: Sequence[tuple[int, Box]], metrics: dict | No
         resources = {k: {n: x for n, x in doc.dict_of(page.resources, k).items() if n in used} if k == "XObject" else v for k, v in page.resources.items()}
         changes[i] = {"Contents": b"q\n" + content + b"\nQ\n" + paint, "Annots": stay or None, "Resources": resources}
         report.append({"page": page.number, "regions": len(boxes), **removed})
-    return assembled(pages, changes), report
+    return assembled(pages, changes, keep=doc), report
 
 
 # -- cleaning and forms
@@ -253,31 +253,56 @@ def _without_actions(page: Page, javascript: bool, urls: bool) -> dict:
     for a in doc.list_of(page.dict, "Annots"):
         d = doc.resolve(a)
         if isinstance(d, dict):
-            d = {k: v for k, v in d.items() if not (k == "AA" and javascript)}
             action = doc.resolve(d.get("A"))
             kind = doc.resolve(action.get("S")) if isinstance(action, dict) else None
-            if kind == "JavaScript" and javascript or kind in OUTWARD and urls:
-                del d["A"]
-        annotations.append(d)
+            gone = {k for k, bad in (("AA", javascript), ("A", kind == "JavaScript" and javascript or kind in OUTWARD and urls)) if bad}
+            if gone & d.keys():
+                a = {k: v for k, v in d.items() if k not in gone}
+        annotations.append(a)
     return {"Annots": annotations or None, **({"AA": None} if javascript else {})}
 
 
+def _quiet_catalog(doc: Document, javascript: bool, urls: bool) -> dict:
+    """Changes that take actions off the catalog."""
+    catalog = doc.catalog or {}
+    action = doc.resolve(catalog.get("OpenAction"))
+    kind = doc.resolve(action.get("S")) if isinstance(action, dict) else None
+    out: dict = {}
+    if kind == "JavaScript" and javascript or kind in OUTWARD and urls:
+        out["OpenAction"] = None
+    if javascript:
+        out |= {"AA": None, "Names": {k: v for k, v in doc.dict_of(catalog, "Names").items() if k != "JavaScript"} or None}
+    return out
+
+
 def strip_active(doc: Document, javascript: bool = True, urls: bool = True) -> bytes:
-    """The file without scripts and/or outward actions; what the catalog does on opening goes with it."""
+    """The file without scripts and/or outward actions; links within the file stay."""
     pages = _pages(doc)
-    return assembled(pages, {i: _without_actions(p, javascript, urls) for i, p in enumerate(pages)})
+    return assembled(pages, {i: _without_actions(p, javascript, urls) for i, p in enumerate(pages)}, keep=doc, catalog=_quiet_catalog(doc, javascript, urls))
 
 
-def sanitize(doc: Document, scripts: bool = True, annotations: bool = True, bookmarks: bool = True) -> bytes:
-    """The file without hidden data: metadata, attachments and layers stay behind with the catalog."""
+def sanitize(doc: Document, metadata: bool = True, attachments: bool = True, scripts: bool = True, annotations: bool = True, bookmarks: bool = True, layers: bool = True) -> bytes:
+    """The file without the kinds of hidden data chosen; scripts go first."""
     pages, changes = _pages(doc), {}
+    catalog = _quiet_catalog(doc, True, True) if scripts else {}
     for i, page in enumerate(pages):
-        own = _without_actions(page, True, True) if scripts else {}
-        rows = own.get("Annots") if scripts else [doc.resolve(a) for a in doc.list_of(page.dict, "Annots")]
+        own = _without_actions(page, True, True) if scripts else {"Annots": doc.list_of(page.dict, "Annots") or None}
+        rows = own["Annots"] or []
+        kind = lambda a: doc.resolve((doc.resolve(a) or {}).get("Subtype"))
         if annotations:
-            rows = [a for a in rows or [] if isinstance(a, dict) and doc.resolve(a.get("Subtype")) in KEPT_ANNOTATIONS]
-        changes[i] = own | {"Annots": rows or None, "Metadata": None, "AF": None}
-    return assembled(pages, changes, outlines=not bookmarks)
+            rows = [a for a in rows if kind(a) in KEPT_ANNOTATIONS]
+        if attachments:
+            rows = [a for a in rows if kind(a) != "FileAttachment"]
+            own["AF"] = None
+        changes[i] = own | {"Annots": rows or None} | ({"Metadata": None} if metadata else {})
+    if metadata:
+        catalog["Metadata"] = None
+    if attachments:
+        names = catalog.get("Names", doc.dict_of(doc.catalog, "Names")) or {}
+        catalog |= {"AF": None, "Names": {k: v for k, v in names.items() if k != "EmbeddedFiles"} or None}
+    if layers:
+        catalog["OCProperties"] = None
+    return assembled(pages, changes, outlines=not bookmarks, keep=doc, catalog=catalog, info=not metadata)
 
 
 def custom_info(doc: Document) -> list[str]:
@@ -354,4 +379,227 @@ def flatten(doc: Document) -> tuple[bytes, int, int]:
             draw += operation("q", []) + operation("cm", [sx, 0, 0, sy, box[0] - b[0] * sx, box[1] - b[1] * sy]) + operation("Do", [Name(name)]) + operation("Q", [])
         if draw or len(stay) != len(doc.list_of(page.dict, "Annots")):
             changes[i] = {"Resources": resources | {"XObject": xobjects}, "Contents": _wrapped(page, bytes(draw)), "Annots": stay or None}
-    return assembled(pages, changes), fields, others
+    return assembled(pages, changes, keep=doc, catalog={"AcroForm": None}), fields, others
+
+
+# -- text of regions, search, replacement
+
+
+def in_region(glyphs: list[Glyph], box: Box) -> list[Glyph]:
+    """Glyphs whose centre lies in the box, edges included."""
+    inside = lambda g: box[0] <= g.x + g.width / 2 <= box[0] + box[2] and box[1] <= g.y + g.height / 2 <= box[1] + box[3]
+    return [g for g in glyphs if g.width > 0 and inside(g)]
+
+
+def region_text(glyphs: list[Glyph], box: Box) -> dict:
+    """A region's text, lines from the top, and its dominant font and size.
+
+    A glyph joins the first line whose first glyph's bottom is within 0.6 of that glyph's height.
+    """
+    found = sorted(in_region(glyphs, box), key=lambda g: -g.y)
+    lines: list[list[Glyph]] = []
+    for g in found:
+        line = next((ln for ln in lines if abs(ln[0].y - g.y) <= 0.6 * ln[0].height), None)
+        lines.append([g]) if line is None else line.append(g)
+    rows = []
+    for line in lines:
+        line.sort(key=lambda g: g.x)
+        text = ""
+        for i, g in enumerate(line):
+            before = line[i - 1] if i else None
+            if before and g.x - (before.x + before.width) > 0.25 * before.height and not text.endswith(" ") and not g.text.startswith(" "):
+                text += " "
+            text += g.text
+        rows.append(text)
+    fonts: dict[str, list[float]] = {}
+    for g in in_region(glyphs, box):
+        fonts.setdefault(g.font, []).append(g.size)
+    font = max(fonts, key=lambda f: len(fonts[f]), default="")
+    low = font.lower()
+    family = "times" if any(p in low for p in ("times", "serif", "georgia", "roman", "minion")) else "courier" if any(p in low for p in ("courier", "mono", "consol")) else "helvetica"
+    return {"text": "\n".join(rows), "size": round(max(fonts[font]), 2) if font else 12.0, "family": family, "bold": any(p in low for p in ("bold", "black", "heavy")), "italic": any(p in low for p in ("italic", "oblique")), "source_font": font[7:] if len(font) > 7 and font[6] == "+" else font, "left": min((g.x for g in found), default=None), "bottom": max((g.y for g in found), default=None), "invisible": bool(found) and all(g.mode == 3 for g in found)}
+
+
+def face(info: dict) -> str:
+    from leafloom.functions.text import FACES
+
+    return FACES[info["family"]][info["bold"] + 2 * info["italic"]]
+
+
+def find(doc: Document, phrase: str, mode: str = "contains", case_sensitive: bool = False) -> list[dict]:
+    """page, text and box of every match; a match over several lines has a box for each; from the bottom of a page upwards."""
+    import re
+
+    from leafloom.functions.text import phrase_pattern
+
+    if not phrase:
+        return []
+    pattern, out = re.compile(phrase_pattern(phrase, mode, case_sensitive)), []
+    interpreter = Interpreter(doc)
+    for page in _pages(doc):
+        marks = [g for g in interpreter.page(page).glyphs if g.text]
+        order = sorted(range(len(marks)), key=lambda i: (-round(marks[i].y), marks[i].x, i))
+        text, owner, last = "", [], None
+        for i in order:
+            g = marks[i]
+            joint = "" if last is None else "\n" if round(last.y) != round(g.y) else " " if g.x - (last.x + last.width) > 0.12 * max(g.height, 1) and g.text != " " and not last.text.endswith(" ") else ""
+            text += joint + g.text
+            owner += [None] * len(joint) + [i] * len(g.text)
+            last = g
+        found = set()
+        for m in pattern.finditer(text):
+            rows: dict[int, list[Glyph]] = {}
+            for i in dict.fromkeys(owner[m.start() : m.end()]):
+                if i is not None:
+                    rows.setdefault(round(marks[i].y), []).append(marks[i])
+            for line in rows.values():
+                x, y = min(g.x for g in line), min(g.y for g in line)
+                found.add((y, x, max(g.x + g.width for g in line) - x, max(g.y + g.height for g in line) - y, m[0]))
+        out += [{"page": page.number, "text": t, "box": (x, y, w, h)} for y, x, w, h, t in sorted(found)]
+    return out
+
+
+def _rewritten(doc: Document, jobs: Sequence[tuple[int, Box, str, float, float, dict]]) -> bytes:
+    """Text taken out of boxes and other text set: (page, box, text, dx, dy, what was there)."""
+    pages, changes = _pages(doc), {}
+    for i, page in enumerate(pages):
+        own = [j for j in jobs if j[0] == page.number]
+        if not own:
+            continue
+        # text that is not seen lies over an image that shows it, so the image goes as well
+        content, _ = redacted_content(page, [j[1] for j in own], text_only=not any(j[5]["invisible"] for j in own))
+        resources, draw = dict(page.resources), b""
+        for _, _, text, dx, dy, was in own:
+            holder = Page(doc, page.number, page.ref, {**page.dict, "Resources": resources}, page.above)
+            resources, name = _with_font(holder, face(was))
+            x, y = was["left"] + dx, was["bottom"] + 0.25 * was["size"] + dy
+            for k, line in enumerate(text.replace("\r\n", "\n").replace("\r", "\n").split("\n")):
+                draw += operation("BT", []) + operation("Tf", [Name(name), was["size"]]) + operation("g", [0]) + operation("Td", [x, y - 1.2 * was["size"] * k]) + operation("Tj", [line.encode("cp1252", "replace")]) + operation("ET", [])
+        changes[i] = {"Contents": b"q\n" + content + b"\nQ\n" + draw, "Resources": resources}
+    return assembled(pages, changes, keep=doc)
+
+
+def _there(doc: Document, number: int, box: Box) -> dict:
+    pages = _pages(doc)
+    if not 1 <= number <= len(pages):
+        raise PdfError("a page is out of range")
+    return region_text(Interpreter(doc).page(pages[number - 1]).glyphs, box)
+
+
+def replace_region(doc: Document, number: int, box: Box, text: str) -> bytes:
+    """A region's text replaced in its own style; the new text is not confined to the box."""
+    was = _there(doc, number, box)
+    if was["left"] is None:
+        was |= {"left": box[0], "bottom": box[1]}
+    return _rewritten(doc, [(number, box, text, 0, 0, was)])
+
+
+def move_text(doc: Document, number: int, box: Box, dx: float, dy: float) -> bytes:
+    """A region's text set elsewhere; the file as it is if the region has none."""
+    was = _there(doc, number, box)
+    return doc.data if was["left"] is None else _rewritten(doc, [(number, box, was["text"], dx, dy, was)])
+
+
+def replace_all(doc: Document, phrase: str, by: str) -> tuple[bytes, int]:
+    """Every occurrence replaced, case-sensitively and anywhere, and how many there were."""
+    jobs = []
+    for m in find(doc, phrase, "contains", True):
+        x, y, w, h = m["box"]
+        inner = (x + 0.2, y + 0.2, max(0.1, w - 0.4), max(0.1, h - 0.4))
+        jobs.append((m["page"], inner, by, 0, 0, _there(doc, m["page"], inner)))
+    jobs = [j for j in jobs if j[5]["left"] is not None]
+    return (_rewritten(doc, jobs), len(jobs)) if jobs else (doc.data, 0)
+
+
+def move_image(doc: Document, number: int, box: Box, dx: float, dy: float) -> bytes:
+    """Images that touch a region, drawn elsewhere."""
+    pages = _pages(doc)
+    page = pages[number - 1]
+    hits = {im["op"]: im["ctm"] for im in Interpreter(doc).page(page).images if im["op"] >= 0 and _touches(box, (im["x"], im["y"], im["width"], im["height"]), 0)}
+    if not hits:
+        return doc.data
+    out = bytearray()
+    for i, (op, v, raw) in enumerate(operations(page.content)):
+        if i in hits:
+            a, b, c, d, _, _ = hits[i]
+            det = a * d - b * c
+            shift = ((dx * d - dy * c) / det, (dy * a - dx * b) / det) if det else (0, 0)
+            out += operation("q", []) + operation("cm", [1, 0, 0, 1, *shift]) + operation(op, v, raw) + operation("Q", [])
+        else:
+            out += operation(op, v, raw)
+    return assembled(pages, {number - 1: {"Contents": bytes(out)}}, keep=doc)
+
+
+# -- scripts, fields, encryption, comparison
+
+
+def _script_tree(doc: Document, rows: dict[bytes, Any]) -> bytes:
+    names = {k: v for k, v in doc.dict_of(doc.catalog, "Names").items() if k != "JavaScript"}
+    if rows:
+        names["JavaScript"] = {"Names": [x for k in sorted(rows) for x in (k, rows[k])]}
+    return assembled(_pages(doc), keep=doc, catalog={"Names": names or None})
+
+
+def _scripts(doc: Document) -> dict[bytes, Any]:
+    return dict(doc.name_tree(doc.dict_of(doc.catalog, "Names").get("JavaScript")))
+
+
+def add_script(doc: Document, name: str, source: str) -> bytes:
+    """A named script added, or replaced if the name is taken; names are kept in byte order."""
+    return _script_tree(doc, _scripts(doc) | {name.encode("latin-1", "replace"): {"S": Name("JavaScript"), "JS": source.encode("latin-1", "replace")}})
+
+
+def remove_script(doc: Document, name: str) -> bytes:
+    """A named script removed; an unknown name changes nothing."""
+    rows = _scripts(doc)
+    return _script_tree(doc, rows) if rows.pop(name.encode("latin-1", "replace"), None) is not None else doc.data
+
+
+def add_field(doc: Document, number: int, box: Box, name: str, kind: str = "text", value: str = "", options: Sequence[str] = ()) -> bytes:
+    """A text, checkbox, choice or signature field; a taken name gets _2, _3, ..."""
+    from leafloom.sources.pdf.scan import fields
+
+    pages = _pages(doc)
+    if not 1 <= number <= len(pages):
+        raise PdfError("a page is out of range")
+    taken = {f["name"] for f in fields(doc)}
+    own = next(n for n in (name, *(f"{name}_{k}" for k in range(2, len(taken) + 3))) if n not in taken)
+    d: dict = {"Type": Name("Annot"), "Subtype": Name("Widget"), "T": own.encode("latin-1", "replace"), "Rect": [box[0], box[1], box[0] + box[2], box[1] + box[3]], "F": 4, "FT": Name({"checkbox": "Btn", "choice": "Ch", "signature": "Sig"}.get(kind, "Tx")), "DA": b"/Helv 10 Tf 0 g"}
+    look = Stream({"Type": Name("XObject"), "Subtype": Name("Form"), "BBox": [0, 0, box[2], box[3]]}, b"")
+    if kind == "checkbox":
+        d |= {"V": Name("Yes" if value else "Off"), "AS": Name("Yes" if value else "Off"), "AP": {"N": {"Yes": look, "Off": look}}}
+    else:
+        d |= {"AP": {"N": look}} | ({"V": value.encode("latin-1", "replace")} if value else {}) | ({"Opt": [o.encode("latin-1", "replace") for o in options]} if options else {})
+    # the field is one object that both the page and the form refer to
+    num = max([*doc.entries, 0]) + 1
+    doc._cache[num] = d
+    form = doc.dict_of(doc.catalog, "AcroForm")
+    catalog = {"AcroForm": form | {"Fields": [*doc.list_of(form, "Fields"), Ref(num, 0)], "NeedAppearances": True}}
+    page = pages[number - 1]
+    return assembled(pages, {number - 1: {"Annots": [*doc.list_of(page.dict, "Annots"), Ref(num, 0)]}}, keep=doc, catalog=catalog)
+
+
+def encrypt(doc: Document, user: str, owner: str | None = None) -> bytes:
+    """The file under a password."""
+    from leafloom.sources.pdf.crypt import Lock
+
+    return assembled(_pages(doc), keep=doc, lock=Lock(user, owner))
+
+
+def decrypt(doc: Document) -> bytes:
+    """The file, opened with its password, without one."""
+    return assembled(_pages(doc), keep=doc)
+
+
+def compare(old: Document, new: Document) -> dict:
+    """Words added and removed on every page, a page that one lacks counting as empty."""
+    from leafloom.operators.diff import sequence_diff
+
+    words = lambda doc: [page_text(Interpreter(doc).page(p).glyphs).split() for p in doc.pages()]
+    a, b = words(old), words(new)
+    pages = []
+    for i in range(max(len(a), len(b))):
+        added, removed = sequence_diff(a[i] if i < len(a) else [], b[i] if i < len(b) else [])
+        pages.append({"page": i + 1, "added": added, "removed": removed})
+    changed = [p for p in pages if p["added"] or p["removed"]]
+    return {"pages_old": len(a), "pages_new": len(b), "changed_pages": len(changed), "added_words": sum(len(p["added"]) for p in pages), "removed_words": sum(len(p["removed"]) for p in pages), "identical": not changed, "pages": changed}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from typing import Any
 
+from leafloom.sources.pdf.crypt import Lock
 from leafloom.sources.pdf.document import Document, Page
 from leafloom.sources.pdf.lexer import Keyword, Name, Ref, Stream
 
@@ -86,7 +87,10 @@ class Builder:
     def stream(self, data: bytes, **entries: Any) -> Ref:
         return self.add(Stream({"Filter": Name("FlateDecode"), **entries}, zlib.compress(data)))
 
-    def save(self, root: Ref, info: Ref | None = None) -> bytes:
+    def save(self, root: Ref, info: Ref | None = None, lock: Lock | None = None) -> bytes:
+        if lock:
+            self.objects = [lock.closed(x) for x in self.objects]
+            self.objects.append(lock.entries)
         out, offsets = bytearray(b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n"), []
         for i, x in enumerate(self.objects):
             offsets.append(len(out))
@@ -98,7 +102,7 @@ class Builder:
             out += b"\nendobj\n"
         at = len(out)
         out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(offsets) + 1) + b"".join(b"%010d 00000 n \n" % o for o in offsets)
-        trailer = {"Size": len(offsets) + 1, "Root": root} | ({"Info": info} if info else {})
+        trailer = {"Size": len(offsets) + 1, "Root": root} | ({"Info": info} if info else {}) | ({"Encrypt": Ref(len(offsets), 0), "ID": [lock.id, lock.id]} if lock else {})
         return bytes(out + b"trailer\n" + serialized(trailer) + b"\nstartxref\n%d\n%%%%EOF\n" % at)
 
 
@@ -106,9 +110,12 @@ class Builder:
 _OWN = ("MediaBox", "CropBox", "Rotate", "Resources")
 
 
-def assembled(pages: list[Page], changes: dict[int, dict] | None = None, catalog: dict | None = None, drop: frozenset[str] = frozenset(), outlines: bool = True) -> bytes:
+def assembled(pages: list[Page], changes: dict[int, dict] | None = None, drop: frozenset[str] = frozenset(), outlines: bool = True, keep: Document | None = None, catalog: dict | None = None, info: bool = True, lock: Lock | None = None) -> bytes:
     """A file of the pages in order; a page may come from any document and more than once.
 
+    ``keep`` names a document whose catalog and information stay, with the entries of
+    ``catalog`` set (a value of None removes one); else only pages and bookmarks do.
+
     ``changes``: by place in the list, entries set (a value of None removes one). Bookmarks of
     the documents stay where a page that they lead to does, together with the entries above them.
     """
@@ -135,12 +142,17 @@ def assembled(pages: list[Page], changes: dict[int, dict] | None = None, catalog
                 own[k] = out.stream(v) if k == "Contents" and isinstance(v, bytes) else out.copy(page.doc, v, drop)
         out.objects[kids[i].num - 1] = {"Type": Name("Page"), **own, "Parent": tree}
     out.objects[tree.num - 1] = {"Type": Name("Pages"), "Kids": kids, "Count": len(kids)}
-    root = {"Type": Name("Catalog"), "Pages": tree, **(catalog or {})}
+    root = {"Type": Name("Catalog"), "Pages": tree}
+    told = None
+    if keep is not None:
+        own = {k: v for k, v in (keep.catalog or {}).items() if k not in ("Type", "Pages", "Outlines")} | (catalog or {})
+        root |= {k: out.copy(keep, v, drop) for k, v in own.items() if v is not None}
+        told = out.add(out.copy(keep, keep.info)) if info and keep.info else None
     if outlines:
         marks = _outlines(out, pages)
         if marks:
             root["Outlines"] = marks
-    return out.save(out.add(root))
+    return out.save(out.add(root), told, lock)
 
 
 def destination(doc: Document, x: Any) -> Ref | None:
