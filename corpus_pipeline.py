@@ -8,7 +8,6 @@ All stages but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from leafloom.llm import linededup, minhash, packing, pii, quality
 from leafloom.llm.shared import Workspace
@@ -35,9 +34,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 4096 tokens, with their token ids."""
+    """Places of the documents' pieces in sequences of 4096 tokens."""
     space = Workspace(spark, "packing")
-    return packing.pack(space.written(packing.pieces(docs, with_ids=True), "pieces"), space)
+    return packing.pack(space.written(packing.pieces(docs), "pieces"), space)
 
 
 STAGES = [
@@ -60,4 +59,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = space.written(stage(spark, docs, sf_dir), f"stage-{k}")
         if k:
             space.drop(f"stage-{k - 1}")
-    return STAGES[-1][1](spark, docs, sf_dir).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", F.base64("ids").alias("ids_base64"))
+    return STAGES[-1][1](spark, docs, sf_dir)
