@@ -224,7 +224,7 @@ def write_shards(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
             return pa.RecordBatch.from_pydict({"shard": [name], "n_docs": [len(shard.keys)], "n_ids": [shard.n_ids]})
 
         for batch in batches:
-            for rows in textops.slices(batch, 1, 3_000_000):
+            for rows in textops.slices(batch, 1):
                 packed = coder.pack([t or "" for t in rows.column(1).to_pylist()])
                 for doc_id, ids in zip(rows.column(0).to_pylist(), packed, strict=True):
                     value = ids if width == 4 else np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes()
@@ -240,47 +240,45 @@ def write_shards(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
     return placed.mapInArrow(run, "shard string, n_docs long, n_ids long")
 
 
-def read_shards(spark: SparkSession, folder: str) -> DataFrame:
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(folder).select("path", "content")
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Shard]]:
+    for batch in batches:
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            yield path.rsplit("/", 1)[1].removesuffix(".sst"), Shard(content.as_buffer())
+
+
+def read_shards(spark: SparkSession, folder: str, most_ids: int = 500_000) -> DataFrame:
     """shard, doc_id, before (ids of the shard before it), ids array<int> of every document."""
+    schema = pa.schema([("shard", pa.string()), ("doc_id", pa.int64()), ("before", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                name = path.rsplit("/", 1)[1].removesuffix(".sst")
-                held: tuple[list, list, list] = ([], [], [])
-                size = 0
-                for doc_id, before, ids in Shard(content.as_buffer()).scan():
-                    for to, x in zip(held, (doc_id, before, ids.view("<i4")), strict=True):
-                        to.append(x)
-                    size += len(ids)
-                    if size > 500_000:
-                        yield out(name, held)
-                        held, size = ([], [], []), 0
-                if held[0]:
-                    yield out(name, held)
-
-    def out(name: str, held: tuple[list, list, list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([name] * len(held[0])), pa.array(held[0], type=pa.int64()), pa.array(held[1], type=pa.int64()), pa.array(held[2], type=pa.list_(pa.int32()))], ["shard", "doc_id", "before", "ids"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(folder).select("path", "content")
-    return files.mapInArrow(run, "shard string, doc_id long, before long, ids array<int>")
-
-
-def id_checksums(df: DataFrame, ids_col: str = "ids") -> DataFrame:
-    """The rows with the ids replaced by n_tokens and ids_crc32 (of unsigned little-endian 32-bit integers)."""
-    at = df.columns.index(ids_col)
-    rest = [c for c in df.columns if c != ids_col]
+        for name, shard in _shards(batches):
+            rows, size = [], 0
+            for doc_id, before, ids in shard.scan():
+                rows.append((name, doc_id, before, ids.view("<i4")))
+                size += len(ids)
+                if size > most_ids:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return _files(spark, folder).mapInArrow(run, "shard string, doc_id long, before long, ids array<int>")
+
+
+def shard_checksums(spark: SparkSession, folder: str) -> DataFrame:
+    """shard, doc_id, before, n_tokens, ids_crc32 (of unsigned little-endian 32-bit integers) of every document."""
+    schema = pa.schema([("shard", pa.string()), ("doc_id", pa.int64()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(at)
-            offsets = lists.offsets.to_numpy()
-            raw = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False).astype("<i4")).view(np.uint8)
-            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(df_at[c]) for c in rest), pa.array(np.diff(offsets), type=pa.int64()), pa.array(crc, type=pa.int64())], [*rest, "n_tokens", "ids_crc32"])
+        for name, shard in _shards(batches):
+            rows = [(name, doc_id, before, len(ids), zlib.crc32(ids)) for doc_id, before, ids in shard.scan()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    df_at = {c: df.columns.index(c) for c in rest}
-    return df.mapInArrow(run, ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest), "n_tokens long, ids_crc32 long"]))
+    return _files(spark, folder).mapInArrow(run, "shard string, doc_id long, before long, n_tokens long, ids_crc32 long")
 
 
 def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,7 +290,7 @@ def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     # one row a shard, so few that a running sum over all of them is small
     starts = shards.select("shard", (F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))).alias("shard_start"))
-    rows = id_checksums(read_shards(spark, space.at("shards")))
+    rows = shard_checksums(spark, space.at("shards"))
     return rows.join(starts, "shard").select("doc_id", (F.coalesce("shard_start", F.lit(0)) + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 

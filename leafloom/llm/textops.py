@@ -8,11 +8,20 @@ a table of random byte codes, then a finalising mix.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+# freed batches go back to the system at once: a worker's memory is shared with the executor's
+pa.set_memory_pool(pa.system_memory_pool())
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library than glibc
+    _trim = int
+
 U64 = np.uint64
 _rng = np.random.default_rng(20240229)
 _BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U64)
@@ -65,7 +74,7 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], raw
 
 
-def slices(batch: pa.RecordBatch, text: int, budget: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: int, budget: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about ``budget`` text bytes; a longer text is a part by itself."""
     n = batch.num_rows
     if n == 0:
@@ -77,6 +86,7 @@ def slices(batch: pa.RecordBatch, text: int, budget: int = 2_000_000) -> Iterato
         to = min(n, max(at + 1, to))
         yield batch.slice(at, to - at)
         at = to
+    _trim(0)
 
 
 class Words:

@@ -150,7 +150,7 @@ def test_line_dedup_has_no_python_in_its_plan(spark):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
-@pytest.mark.parametrize("name,module", [("op5_linededup", linededup), ("op6_topk", topk)])
+@pytest.mark.parametrize("name,module", [("op4_neardup", minhash), ("op5_linededup", linededup), ("op6_topk", topk)])
 def test_oracles(spark, name, module):
     con = duckdb.connect()
     for t in ("documents", "embeddings"):

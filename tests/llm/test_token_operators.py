@@ -20,7 +20,7 @@ SF = "/root/testdata/sf0.001"
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 WORDS = WordIds(cache=50)
 RANKS = RankIds(cut=5)
-BITS = ["The ", "it's", "'s ", "été", "é", " ́", " ", "　", "\x1c", "\x85", "\n", "\r\n", "\t", " ", "  ", "İ", "ΑΣ", "ΑΣ ", "12", ".", "...", "<|endoftext|>", "<|", "日本", "😀", "x" * 40, "don'T"]
+BITS = ["'", "'re", "'LL", "'v", "don't's", ".'s", "7'd8", "ÿ÷×", "µª", "The ", "it's", "'s ", "été", "é", " ́", " ", "　", "\x1c", "\x85", "\n", "\r\n", "\t", " ", "  ", "İ", "ΑΣ", "ΑΣ ", "12", ".", "...", "<|endoftext|>", "<|", "日本", "😀", "x" * 40, "don'T"]
 
 
 def crc(ids):
