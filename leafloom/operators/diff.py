@@ -44,28 +44,37 @@ def sequence_diff(a: list[str], b: list[str]) -> tuple[list[str], list[str]]:
             else:
                 added.append(w)
         return added, [w for w in dict.fromkeys(a) for _ in range(rest.get(w, 0))]
-    lead = 0
-    while lead < min(len(a), len(b)) and a[lead] == b[lead]:
-        lead += 1
-    x, y = a[lead:], b[lead:]
-    best = [[0] * (len(y) + 1)]
-    for word in reversed(x):
-        below, row = best[-1], [0] * (len(y) + 1)
-        for j in range(len(y) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if word == y[j] else max(below[j], row[j + 1])
-        best.append(row)
-    best.reverse()
+    n, m = len(a), len(b)
+    rows = _subsequence_rows(a[::-1], b[::-1])
+
+    def longest(i: int, j: int) -> int:
+        """Length of the longest common subsequence of a[i:] and b[j:]."""
+        return m - j - (rows[n - i] & (1 << m - j) - 1).bit_count()
+
     added, removed, i, j = [], [], 0, 0
-    while i < len(x) and j < len(y):
-        if x[i] == y[j]:
+    while i < n and j < m:
+        if a[i] == b[j]:
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            removed.append(x[i])
+        elif longest(i + 1, j) >= longest(i, j + 1):
+            removed.append(a[i])
             i += 1
         else:
-            added.append(y[j])
+            added.append(b[j])
             j += 1
-    return added + y[j:], removed + x[i:]
+    return added + b[j:], removed + a[i:]
+
+
+def _subsequence_rows(a: list[str], b: list[str]) -> list[int]:
+    """Row k: an integer whose zero bits mark where the longest common subsequence of a[:k] and b grows (Hyyroe's recurrence)."""
+    where: dict[str, int] = {}
+    for j, word in enumerate(b):
+        where[word] = where.get(word, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    rows = [full]
+    for word in a:
+        hit = rows[-1] & where.get(word, 0)
+        rows.append((rows[-1] + hit | rows[-1] - hit) & full)
+    return rows
 
 
 def lcs_diff(old: Column, new: Column) -> Column:

@@ -45,10 +45,9 @@ def compare_pages_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compare_lcs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words added and removed in sequence, for every document's first line: old against new."""
+    """Words added and removed in sequence in every document: old against new."""
     old, new = _versions(spark, sf_dir)
-    first = lambda df: df.select("doc_id", F.element_at(F.split("text", "\n"), 1).alias("text"))
-    sides = diff.compare_pages(first(old), first(new), ("doc_id",), "text")
+    sides = diff.compare_pages(old, new, ("doc_id",), "text")
     return sides.withColumn("d", diff.lcs_diff(F.col("old_words"), F.col("new_words"))).select("doc_id", "d.added", "d.removed")
 
 

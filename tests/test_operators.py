@@ -1,6 +1,8 @@
 """Literal cases of the operators: boundaries, ties, orders that generated tables do not reach."""
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from leafloom.functions import geometry, text, urls
@@ -103,6 +105,32 @@ def test_sequence_diff(a, b, added, removed):
         assert got == (added, removed)
 
 
+@given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abcd"), max_size=12))
+def test_sequence_diff_follows_the_table(a, b):
+    n, m = len(a), len(b)
+    t = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            t[i][j] = t[i + 1][j + 1] + 1 if a[i] == b[j] else max(t[i + 1][j], t[i][j + 1])
+    added, removed, i, j = [], [], 0, 0
+    while i < n or j < m:
+        if i < n and j < m and a[i] == b[j]:
+            i, j = i + 1, j + 1
+        elif j == m or i < n and t[i + 1][j] >= t[i][j + 1]:
+            removed.append(a[i])
+            i += 1
+        else:
+            added.append(b[j])
+            j += 1
+    assert diff.sequence_diff(a, b) == (added, removed)
+
+
+def test_long_sequences():
+    a = [str(i % 97) for i in range(3900)]
+    b = a[:1000] + ["new"] + a[1001:]
+    assert diff.sequence_diff(a, b) == (["new"], [a[1000]])
+
+
 def test_large_pages_compare_as_bags(monkeypatch):
     monkeypatch.setattr(diff, "LCS_PRODUCT", 3)
     assert diff.sequence_diff("a b c d a".split(), "a c b d e".split()) == (["e"], ["a"])
