@@ -7,12 +7,12 @@ points, so that text tables carry the geometry spatial operators need.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PAGE_LINES = 50
 PAGE_WIDTH, PAGE_HEIGHT = 612.0, 792.0
-BLOCK = 64
+BLOCK = 24
 LEFT, TOP, ADVANCE, LEADING, SIZE = 72.0, 760.0, 6.0, 12.0, 10.0
 
 
@@ -64,12 +64,15 @@ def pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def reading_text(tok: DataFrame, keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
     """The text of every page in reading order: a space where tokens of a line are apart, a line feed between lines.
 
-    Lines are told apart by their baseline, so blank lines leave none behind.
+    Lines are told apart by their baseline, so blank lines leave none behind. One shuffle; a
+    group is a page.
     """
-    order = Window.partitionBy(*keys).orderBy(F.col("y").desc(), "x", "tok_no")
-    before = lambda c: F.lag(c).over(order)
-    gap = F.col("x") - (before("x") + before("width"))
-    joint = F.when(before("y").isNull(), "").when(before("y") != F.col("y"), "\n").when(gap > 0.5 * ADVANCE, " ").otherwise("")
-    marked = tok.withColumn("joint", joint).withColumn("seq", F.row_number().over(order))
-    parts = F.array_sort(F.collect_list(F.struct("seq", F.concat("joint", "text").alias("s"))))
-    return marked.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p.s), "").alias("page_text"), F.count(F.lit(1)).alias("n_tokens"))
+    rows = F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("down"), "x", "tok_no", "width", "text")))
+    sorted_rows = tok.groupBy(*keys).agg(rows.alias("rows"))
+
+    def joined(t: Column, i: Column) -> Column:
+        before = F.element_at("rows", F.greatest(i, F.lit(1)))
+        apart = t.x - (before.x + before.width) > 0.5 * ADVANCE
+        return F.concat(F.when(i == 0, "").when(before.down != t.down, "\n").when(apart, " ").otherwise(""), t.text)
+
+    return sorted_rows.select(*keys, F.array_join(F.transform("rows", joined), "").alias("page_text"), F.size("rows").cast("long").alias("n_tokens"))

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from leafloom.functions.text import words
 from leafloom.operators import diff
 from leafloom.plans.documents import _docs
-from leafloom.session import table
+from leafloom.session import spread, table
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Documents, and a later version: one word put in capitals, another doubled; every seventh document is gone, and its words come under a new id."""
-    old = _docs(spark, sf_dir).select("doc_id", "text")
+    old = spread(_docs(spark, sf_dir).select("doc_id", "text"))
     edited = F.regexp_replace(F.regexp_replace("text", r"\bthe\b", "THE"), r"\band\b", "and and")
     new = old.select(F.when(F.col("doc_id") % 7 == 0, F.col("doc_id") + 1_000_000_000).otherwise(F.col("doc_id")).alias("doc_id"), edited.alias("text"))
     return old, new

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafloom.functions import geometry
 from leafloom.operators import layout, pages, search
-from leafloom.session import table
+from leafloom.session import spread, table
 
 TOK = """
 ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
@@ -25,7 +25,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tok(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.tokens(_docs(spark, sf_dir).select("doc_id", "text"))
+    return layout.tokens(spread(_docs(spark, sf_dir).select("doc_id", "text")))
 
 
 def _search(phrase: str, mode: str, case: bool):
@@ -53,7 +53,7 @@ def find_multi_phrase_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def find_match_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The box of every whole word ``the``."""
-    return search.match_rects(_docs(spark, sf_dir), "the", "word", True)
+    return search.match_rects(spread(_docs(spark, sf_dir).select("doc_id", "text")), "the", "word", True)
 
 
 def replace_all_count(spark: SparkSession, sf_dir: str) -> DataFrame:

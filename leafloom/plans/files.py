@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from leafloom.plans.documents import TOK, _docs
 from leafloom.sources.pdf import tables
+from leafloom.session import spread
 from leafloom.sources.pdf.compose import as_files
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_files(_docs(spark, sf_dir).select("doc_id", "text"))
+    return as_files(spread(_docs(spark, sf_dir).select("doc_id", "text")))
 
 
 def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
