@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafloom.llm import textops
+from leafloom.llm.shared import documents
 from leafloom.llm.tokens import rank_ids
 
 
@@ -63,7 +64,7 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every text of ``documents`` and of the bytes they decode to."""
-    coded = encode_decode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    coded = encode_decode(documents(spark, sf_dir))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 

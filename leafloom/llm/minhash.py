@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from leafloom.llm import textops
 from leafloom.llm.components import components
-from leafloom.llm.shared import Workspace
+from leafloom.llm.shared import Workspace, documents
 
 U64 = np.uint64
 BUCKET_BITS, MANTISSA_BITS, BAND = 7, 10, 4
@@ -321,7 +321,7 @@ def keep_one(df: DataFrame, space: Workspace, id_col: str = "doc_id", text_col:
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate ``documents``: four-word shingles, 80 percent."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return near_duplicates(docs, Workspace(spark, "neardup"), size=4, percent=80)
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafloom.llm import textops
-from leafloom.llm.shared import Workspace
+from leafloom.llm.shared import Workspace, documents
 from leafloom.llm.tokens import END_ID, word_ids
 
 CAPACITY = 4096
@@ -166,7 +166,7 @@ def sequences(packed: DataFrame, ids_col: str = "ids") -> DataFrame:
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` in sequences of at most 4096 ids."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     space = Workspace(spark, "packing")
     return pack(space.written(pieces(docs), "pieces"), space)
 

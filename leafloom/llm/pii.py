@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafloom.llm import textops
+from leafloom.llm.shared import documents
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Kinds that the cues add; n_* and base_sha256 leave them out.
@@ -200,7 +201,7 @@ def redact_pii(df: DataFrame, text_col: str = "text", n_chars_col: str | None =
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the personal data in every text of ``documents``."""
-    spans = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    spans = find_pii(documents(spark, sf_dir))
     count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long")
     text = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
     base = F.filter("spans", lambda s: s.kind.isin(*BASE_KINDS))

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafloom.llm import textops
+from leafloom.llm.shared import documents
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -154,7 +155,7 @@ def keep_good(df: DataFrame, text_col: str = "text", bands: Bands = DEFAULT) ->
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every text of ``documents``."""
-    found = judge_quality(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    found = judge_quality(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("ratio", 6).alias("ratio"), "reason")
 
 

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafloom.llm import textops
+from leafloom.llm.shared import documents
 
 BASE_KINDS = ("assign", "access", "hex")
 #: Kinds with a checksum or structure of their own; n_* and base_sha256 leave them out.
@@ -142,7 +143,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the secrets in every text of ``documents``."""
-    spans = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    spans = find_secrets(documents(spark, sf_dir))
     count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long")
     text = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
     base = F.filter("spans", lambda s: s.kind.isin(*BASE_KINDS))

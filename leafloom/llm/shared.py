@@ -14,6 +14,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leafloom.session import spread, table
+
 _KEY = "spark.checkpoint.dir"
 
 
@@ -31,6 +33,11 @@ def root(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and whole texts of ``documents``, on all cores."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 class Workspace:
     """A folder of one run's intermediate tables and files; removed at exit, or table by table."""
 
