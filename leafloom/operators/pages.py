@@ -70,7 +70,9 @@ def numbered(pages: DataFrame, order: Sequence[str], prefix: str = "", suffix: s
     if start < 0:
         raise ValueError("numbers start at zero or above")
     digits = max(1, min(12, digits))
-    placed = pages.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()})
+    # a stated number of partitions is kept at run time, so that both uses below see the same ones
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = pages.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()})
     local = placed.withColumn("_local", F.col("_id") - F.shiftleft(F.col("_part").cast("long"), 33))
     counts = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
