@@ -240,6 +240,8 @@ def _linked_blocks(members: DataFrame, percent: int) -> DataFrame:
                 j = np.flatnonzero(linked[i])
                 for k in j[np.unique(two.comp[j], return_index=True)[1]]:
                     found.append((max(one.ids[i], two.ids[k]), min(one.ids[i], two.ids[k])))
+        del one, two
+        textops.trim(0)
         return pa.table([pa.array([f[i] for f in found], type=pa.int64()) for i in (0, 1)], schema=schema)
 
     return outside.unionAll(inside).groupBy("hub", "x", "y").applyInArrow(run, "a long, b long").distinct()

@@ -18,9 +18,9 @@ import pyarrow as pa
 pa.set_memory_pool(pa.system_memory_pool())
 
 try:
-    _trim = ctypes.CDLL(None).malloc_trim
+    trim = ctypes.CDLL(None).malloc_trim  # gives freed memory back
 except (AttributeError, OSError):  # another C library than glibc
-    _trim = int
+    trim = int
 
 U64 = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -86,7 +86,7 @@ def slices(batch: pa.RecordBatch, text: int, budget: int = 1_000_000) -> Iterato
         to = min(n, max(at + 1, to))
         yield batch.slice(at, to - at)
         at = to
-    _trim(0)
+    trim(0)
 
 
 class Words:
