@@ -6,7 +6,9 @@ import random
 import re
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -139,3 +141,19 @@ def test_quality_bands(spark):
     df = spark.createDataFrame([(1, noise), (2, varied), (3, stutter)], "doc_id long, text string")
     got = {r.doc_id: r for r in quality.judge_quality(df).collect()}
     assert got[1].reason == "incompressible" and got[2].kept and not got[3].kept
+
+
+@pytest.mark.skipif(not os.path.isdir(SF.replace("0.001", "0.1")), reason="no driver tables")
+@pytest.mark.parametrize("lang", ["de", "en", "es", "fr"])
+def test_quality_keeps_long_clean_texts(lang):
+    folder = SF.replace("0.001", "0.1")
+    docs = pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "text", "lang"]).to_pylist()
+    labels = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{folder}/labels.parquet").to_pylist()}
+    seen = Counter(line for r in docs for line in set((r["text"] or "").split("\n")))
+    clean = [r["text"] for r in docs if r["lang"] == lang and r["text"] and labels.get(r["doc_id"]) == 1 and all(seen[x] == 1 for x in r["text"].split("\n"))]
+    data, press = "\n".join(clean).encode(), zstandard.ZstdCompressor(level=quality.DEFAULT.level)
+    assert len(data) > 300_000
+    for n in (20_000, 60_000, 130_000, 200_000, 300_000, len(data)):
+        assert quality.verdict(data[:n], quality.DEFAULT, press)[3] is None, n
+    # a text that stands twice over is still repetitive
+    assert quality.verdict(data[:150_000] * 2, quality.DEFAULT, press)[3] == "repetitive"
