@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import string
 from collections import Counter
 
 import pyarrow.parquet as pq
@@ -157,3 +158,12 @@ def test_quality_keeps_long_clean_texts(lang):
         assert quality.verdict(data[:n], quality.DEFAULT, press)[3] is None, n
     # a text that stands twice over is still repetitive
     assert quality.verdict(data[:150_000] * 2, quality.DEFAULT, press)[3] == "repetitive"
+
+
+@pytest.mark.parametrize("n", [200, 300, 400, 500, 800, 1000, 1500, 2000])
+def test_quality_rejects_short_random_texts(n):
+    rng, press = random.Random(n), zstandard.ZstdCompressor(level=quality.DEFAULT.level)
+    for letters in (string.ascii_letters + string.digits + "+/", "".join(map(chr, range(33, 127)))):
+        for size in (8, 40):
+            data = " ".join("".join(rng.choices(letters, k=size)) for _ in range(n // size + 1))[:n].encode()
+            assert quality.verdict(data, quality.DEFAULT, press)[3] == "incompressible"
