@@ -13,6 +13,14 @@ chunk that holds a third of all rows leaves each task as one row. Their
 occurrences are found by joining on the hash, and every removal compares
 the bytes of the chunk with those of its first occurrence.
 
+A passage cut into single short lines has no such chunk, so ``dedup_lines``
+also looks at every pair of neighbouring lines (blank ones between them
+belong to it), by 128 bits of its SHA-256. Pairs that occur earlier, joined
+where they overlap, make up runs, and runs of more than ``RUN_WORDS`` words
+are removed too: so a run that stands whole in one earlier document goes
+whole. Every removed line still stands where it came first. ``op5_linededup``
+follows its SQL, which knows chunks only.
+
 Defined results: a null text stays null; an empty one stays empty; rows
 equal in id and text count as one document and get the same result; rows
 with the same id and other texts are documents of their own, ordered by the
@@ -22,12 +30,14 @@ their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LONG_LINE = 200
 DIVISOR = 2
 LEAST_LINES = 2
+RUN_WORDS = 50
+_SPACE = " \\t\\n\\x0B\\f\\r"
 _IDS = ("_ll_id", "_ll_text_hash")
 
 
@@ -37,7 +47,7 @@ def line_hash(line: Column) -> Column:
 
 
 def chunks(text: Column, divisor: int = DIVISOR, long_line: int = LONG_LINE) -> Column:
-    """array<struct<no, n_lines, body>>: the text's chunks in order; joined by line feeds they give the text."""
+    """array<struct<no, line, n_lines, body>>: the text's chunks in order; joined by line feeds they give the text."""
     lines = F.split(text, "\n")
 
     def cut(state: Column) -> Column:
@@ -52,7 +62,7 @@ def chunks(text: Column, divisor: int = DIVISOR, long_line: int = LONG_LINE) ->
         begin = lambda k: F.when(k == 0, F.lit(1)).otherwise(F.element_at(state.ends, F.greatest(k, F.lit(1))) + 1)
         return F.transform(
             state.ends,
-            lambda end, k: F.struct(k.alias("no"), (end - begin(k) + 1).alias("n_lines"), F.array_join(F.slice(state.lines, begin(k), end - begin(k) + 1), "\n").alias("body")),
+            lambda end, k: F.struct(k.alias("no"), begin(k).alias("line"), (end - begin(k) + 1).alias("n_lines"), F.array_join(F.slice(state.lines, begin(k), end - begin(k) + 1), "\n").alias("body")),
         )
 
     # one-element arrays bind what is used often, so that it is computed once a row
@@ -65,20 +75,59 @@ def eligible(chunk: Column, least_lines: int = LEAST_LINES, long_line: int = LON
     return (chunk.n_lines >= least_lines) | (F.char_length(chunk.body) >= long_line)
 
 
-def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, long_line: int = LONG_LINE, least_lines: int = LEAST_LINES) -> DataFrame:
-    """The rows with ``_ll_chunks`` array<struct<no, n_lines, body, removed>>, null where the text is."""
-    docs = df.withColumns({_IDS[0]: F.col(id_col), _IDS[1]: F.xxhash64(text_col)})
+def windows(text: Column) -> Column:
+    """array<struct<no, first, last, key>>: each line with a word and the next such line, by line numbers, and the hash of all between."""
+    lines = F.split(text, "\n")
+
+    def pairs(state: Column) -> Column:
+        at = lambda k: F.element_at(state.full, k)
+        body = lambda k: F.array_join(F.slice(state.lines, at(k), at(k + 1) - at(k) + 1), "\n")
+        key = lambda k: F.substring(F.unhex(F.sha2(body(k), 256)), 1, 16)
+        numbers = F.filter(F.sequence(F.lit(1), F.greatest(F.size(state.full) - 1, F.lit(1))), lambda k: k < F.size(state.full))
+        return F.transform(numbers, lambda k: F.struct(k.alias("no"), at(k).alias("first"), at(k + 1).alias("last"), key(k).alias("key")))
+
+    full = lambda x: F.filter(F.sequence(F.lit(1), F.size(x)), lambda i: F.element_at(x, i).rlike(f"[^{_SPACE}]"))
+    bound = F.transform(F.array(lines), lambda x: F.struct(x.alias("lines"), full(x).alias("full")))
+    return F.element_at(F.transform(bound, pairs), 1)
+
+
+def _with_ids(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.withColumns({_IDS[0]: F.col(id_col), _IDS[1]: F.xxhash64(text_col)})
+
+
+def _joined(docs: DataFrame, by_doc: DataFrame) -> DataFrame:
+    same = docs[_IDS[0]].eqNullSafe(by_doc[_IDS[0]]) & (docs[_IDS[1]] == by_doc[_IDS[1]])
+    return docs.join(by_doc, same, "left").drop(by_doc[_IDS[0]]).drop(by_doc[_IDS[1]])
+
+
+def _later_chunks(docs: DataFrame, text_col: str, divisor: int, long_line: int, least_lines: int) -> DataFrame:
+    """ids, no, line, n_lines and body of the chunks that may have occurred before: their hashes have."""
     place = F.struct(*_IDS, "no")
     spread = (
         docs.filter(F.col(text_col).isNotNull())
         .select(*_IDS, F.explode(F.filter(chunks(F.col(text_col), divisor, long_line), lambda c: eligible(c, least_lines, long_line))).alias("c"))
-        .select(*_IDS, F.col("c.no").alias("no"), F.col("c.body").alias("body"), F.xxhash64("c.body").alias("h"))
+        .select(*_IDS, F.col("c.no").alias("no"), F.col("c.line").alias("line"), F.col("c.n_lines").alias("n_lines"), F.col("c.body").alias("body"), F.xxhash64("c.body").alias("h"))
     )
     repeated = spread.groupBy("h", "body").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n")
-    later = spread.select(*_IDS, "no", "h").join(repeated, "h").filter(~place.eqNullSafe(F.col("first")))
-    by_doc = later.groupBy(*_IDS).agg(F.collect_list(F.struct("no", "body")).alias("_ll_later"))
-    same = docs[_IDS[0]].eqNullSafe(by_doc[_IDS[0]]) & (docs[_IDS[1]] == by_doc[_IDS[1]])
-    joined = docs.join(by_doc, same, "left").drop(by_doc[_IDS[0]]).drop(by_doc[_IDS[1]])
+    return spread.select(*_IDS, "no", "line", "n_lines", "h").join(repeated, "h").filter(~place.eqNullSafe(F.col("first")))
+
+
+def _later_runs(docs: DataFrame, text_col: str) -> DataFrame:
+    """ids, first and last line of the longest runs whose every pair of lines occurs earlier."""
+    place = F.struct(*_IDS, "no")
+    spread = docs.filter(F.col(text_col).isNotNull()).select(*_IDS, F.explode(windows(F.col(text_col))).alias("c")).select(*_IDS, "c.*")
+    repeated = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("origin")).filter("n > 1").drop("n")
+    later = spread.join(repeated, "key").filter(~place.eqNullSafe(F.col("origin")))
+    # rows equal in id and text give equal pairs, which share a rank
+    run = F.col("no") - F.dense_rank().over(Window.partitionBy(*_IDS).orderBy("no"))
+    return later.withColumn("run", run).groupBy(*_IDS, "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("run")
+
+
+def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, long_line: int = LONG_LINE, least_lines: int = LEAST_LINES) -> DataFrame:
+    """The rows with ``_ll_chunks`` array<struct<no, n_lines, body, removed>>, null where the text is."""
+    docs = _with_ids(df, id_col, text_col)
+    by_doc = _later_chunks(docs, text_col, divisor, long_line, least_lines).groupBy(*_IDS).agg(F.collect_list(F.struct("no", "body")).alias("_ll_later"))
+    joined = _joined(docs, by_doc)
 
     hit = lambda c: F.exists("_ll_later", lambda x: (x.no == c.no) & (x.body == c.body))
     flagged = F.transform(
@@ -92,20 +141,41 @@ def _kept_text() -> Column:
     return F.array_join(F.transform(F.filter("_ll_chunks", lambda c: ~c.removed), lambda c: c.body), "\n")
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = "n_chars", drop_emptied: bool = True, **limits: int) -> DataFrame:
-    """The rows with later occurrences of repeated chunks removed from their texts.
+def dedup_lines(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    n_chars_col: str | None = "n_chars",
+    drop_emptied: bool = True,
+    divisor: int = DIVISOR,
+    long_line: int = LONG_LINE,
+    least_lines: int = LEAST_LINES,
+    run_words: int = RUN_WORDS,
+) -> DataFrame:
+    """The rows with later occurrences of repeated chunks and of longer runs of lines removed from their texts.
 
     ``n_chars_col``, where the rows have it, follows the new length. With ``drop_emptied``
     a document goes whose every word has been removed, as its text stands elsewhere.
     """
-    marked = mark(df, id_col, text_col, **limits)
-    touched = F.exists("_ll_chunks", lambda c: c.removed)
-    new = marked.withColumns({"_ll_touched": F.coalesce(touched, F.lit(False)), text_col: F.when(touched, _kept_text()).otherwise(F.col(text_col))})
+    docs = _with_ids(df, id_col, text_col)
+    found = _later_chunks(docs, text_col, divisor, long_line, least_lines).select(*_IDS, F.col("line").alias("first"), (F.col("line") + F.col("n_lines") - 1).alias("last"), "body")
+    found = found.unionByName(_later_runs(docs, text_col).withColumn("body", F.lit(None).cast("string")))
+    joined = _joined(docs, found.groupBy(*_IDS).agg(F.collect_list(F.struct("first", "last", "body")).alias("_ll_later")))
+
+    def is_whole(r: Column, lines: Column) -> Column:
+        text = F.array_join(F.slice(lines, r["first"], r["last"] - r["first"] + 1), "\n")
+        return F.when(r.body.isNotNull(), text == r.body).otherwise(F.regexp_count(text, F.lit(f"[^{_SPACE}]+")) > run_words)
+
+    rest = lambda s: F.filter(s.lines, lambda _, i: ~F.exists(s.cut, lambda r: (r["first"] <= i + 1) & (r["last"] > i)))
+    bound = F.transform(F.array(F.split(text_col, "\n")), lambda x: F.struct(x.alias("lines"), F.filter("_ll_later", lambda r: is_whole(r, x)).alias("cut")))
+    kept = F.element_at(F.transform(bound, lambda s: F.when(F.size(s.cut) > 0, F.array_join(rest(s), "\n"))), 1)
+    new = joined.withColumn("_ll_kept", F.when(F.col("_ll_later").isNotNull(), kept))
+    touched = F.col("_ll_kept").isNotNull()
     if drop_emptied:
-        new = new.filter(~F.col("_ll_touched") | F.col(text_col).rlike("[^ \\t\\n\\x0B\\f\\r]"))
+        new = new.filter(~touched | F.col("_ll_kept").rlike(f"[^{_SPACE}]"))
     if n_chars_col in df.columns:
-        new = new.withColumn(n_chars_col, F.when(F.col("_ll_touched"), F.char_length(text_col)).otherwise(F.col(n_chars_col)).cast(df.schema[n_chars_col].dataType))
-    return new.select(*df.columns)
+        new = new.withColumn(n_chars_col, F.when(touched, F.char_length("_ll_kept")).otherwise(F.col(n_chars_col)).cast(df.schema[n_chars_col].dataType))
+    return new.withColumn(text_col, F.coalesce("_ll_kept", text_col)).select(*df.columns)
 
 
 def op5_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:

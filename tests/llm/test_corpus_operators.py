@@ -130,6 +130,55 @@ def test_line_chunks_shift(spark):
         assert docs[i][1].split("\n")[0] in out[i].split("\n")
 
 
+def plain_runs(docs, words=50):
+    """Runs of two or more lines and over so many words of each text that stand in one earlier text too, in id order."""
+    places, out = defaultdict(list), []
+    for d, text in sorted(docs):
+        lines, i = text.split("\n"), 0
+        while i < len(lines) - 1:
+            longest = i
+            for e, j in places[lines[i], lines[i + 1]]:
+                n = 0
+                while i + n < len(lines) and j + n < len(e) and lines[i + n] == e[j + n]:
+                    n += 1
+                longest = max(longest, i + n)
+            if longest > i + 1 and len(WORD.findall(" ".join(lines[i:longest]))) > words:
+                out.append((d, i, longest))
+                i = longest
+            else:
+                i += 1
+        for k in range(len(lines) - 1):
+            places[lines[k], lines[k + 1]].append((lines, k))
+    return out
+
+
+@pytest.mark.parametrize("blank", [False, True])
+def test_line_dedup_removes_whole_runs(spark, blank):
+    rng = random.Random(3)
+    line = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(rng.randrange(4, 12)))
+    passage, docs = [line() for _ in range(14)], []
+    for i in range(30):
+        a = rng.randrange(0, 4) if i else 0
+        docs.append((i, ("\n\n" if blank else "\n").join([line(), *passage[a : a + (rng.randrange(10, 15) if i else 14)], line(), passage[1], line()])))
+    out = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out[0] == docs[0][1] and plain_runs(docs)
+    for d, text in docs[1:]:
+        lines, own = out[d].split("\n"), [x for x in text.split("\n") if x not in passage and x]
+        # its own lines and a passage line that stands alone stay, in order
+        kept = [x for x in lines if x]
+        assert kept == [*own[:2], passage[1], own[2]]
+
+
+def test_line_dedup_leaves_no_long_run_in_documents(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet").filter("text IS NOT NULL").select("doc_id", "text")
+    before = [tuple(r) for r in df.collect()]
+    assert plain_runs(before)
+    after = [tuple(r) for r in linededup.dedup_lines(df).collect()]
+    assert not plain_runs(after)
+    lines = lambda rows: {x for _, t in rows for x in t.split("\n") if WORD.search(x)}
+    assert lines(after) == lines(before)  # every line still stands somewhere
+
+
 def test_line_dedup_edges(spark):
     text = "one line here\n" + "x" * 250 + "\nlast"
     rows = [(1, None, 0), (2, "", 0), (3, text, len(text)), (3, text, len(text)), (4, "x" * 250, 250), (None, "y" * 300, 300), (5, "y" * 300 + "\nrest", 305), (6, "z\nz\nz\nz", 7)]
