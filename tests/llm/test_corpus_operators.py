@@ -286,6 +286,15 @@ def test_many_buckets_and_blocks_change_no_count(spark, monkeypatch):
         assert (got[d].n_tokens, got[d].n_known, got[d].train_tokens) == w[1:4] and got[d].base_score == pytest.approx(w[4])
 
 
+def test_blocks_change_no_context(spark, monkeypatch):
+    # one word, which ends as others do, is over the share in all, but only in half of the blocks
+    rows = [(i, " ".join(random.Random(i).choices(["often9", *(f"w{k}" for k in range(60))], weights=[16 if i < 20 else 5, *[1] * 60], k=50))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(pitmanyor, "CONTEXTS", 8)
+    scores = lambda x: {r.doc_id: r.score for r in pitmanyor.score_texts(x, Workspace(spark, "test")).collect()}
+    assert scores(df.repartitionByRange(4, "doc_id")) == pytest.approx(scores(df.coalesce(1)))
+
+
 def test_seating_follows_the_restaurant():
     rng = np.random.default_rng(1)
     # a one-dish restaurant of strength 1 and discount 0.5: the mean number of tables is known
