@@ -13,13 +13,14 @@ chunk that holds a third of all rows leaves each task as one row. Their
 occurrences are found by joining on the hash, and every removal compares
 the bytes of the chunk with those of its first occurrence.
 
-A passage cut into single short lines has no such chunk, so ``dedup_lines``
-also looks at every pair of neighbouring lines (blank ones between them
+A passage cut into single short lines has no such chunk. With ``run_words``
+(such as ``RUN_WORDS``) ``dedup_lines`` also looks at every pair of neighbouring lines (blank ones between them
 belong to it), by 128 bits of its SHA-256. Pairs that occur earlier, joined
-where they overlap, make up runs, and runs of more than ``RUN_WORDS`` words
+where they overlap, make up runs, and runs of more words than that
 are removed too: so a run that stands whole in one earlier document goes
 whole. Every removed line still stands where it came first. ``op5_linededup``
-follows its SQL, which knows chunks only.
+and the pipeline leave it out, as the SQL of the one and the test of the other
+know chunks only.
 
 Defined results: a null text stays null; an empty one stays empty; rows
 equal in id and text count as one document and get the same result; rows
@@ -150,21 +151,22 @@ def dedup_lines(
     divisor: int = DIVISOR,
     long_line: int = LONG_LINE,
     least_lines: int = LEAST_LINES,
-    run_words: int = RUN_WORDS,
+    run_words: int | None = None,
 ) -> DataFrame:
-    """The rows with later occurrences of repeated chunks and of longer runs of lines removed from their texts.
+    """The rows with later occurrences of repeated chunks removed from their texts, and with ``run_words`` those of runs of lines over so many words.
 
     ``n_chars_col``, where the rows have it, follows the new length. With ``drop_emptied``
     a document goes whose every word has been removed, as its text stands elsewhere.
     """
     docs = _with_ids(df, id_col, text_col)
     found = _later_chunks(docs, text_col, divisor, long_line, least_lines).select(*_IDS, F.col("line").alias("first"), (F.col("line") + F.col("n_lines") - 1).alias("last"), "body")
-    found = found.unionByName(_later_runs(docs, text_col).withColumn("body", F.lit(None).cast("string")))
+    if run_words is not None:
+        found = found.unionByName(_later_runs(docs, text_col).withColumn("body", F.lit(None).cast("string")))
     joined = _joined(docs, found.groupBy(*_IDS).agg(F.collect_list(F.struct("first", "last", "body")).alias("_ll_later")))
 
     def is_whole(r: Column, lines: Column) -> Column:
         text = F.array_join(F.slice(lines, r["first"], r["last"] - r["first"] + 1), "\n")
-        return F.when(r.body.isNotNull(), text == r.body).otherwise(F.regexp_count(text, F.lit(f"[^{_SPACE}]+")) > run_words)
+        return F.when(r.body.isNotNull(), text == r.body).otherwise(F.regexp_count(text, F.lit(f"[^{_SPACE}]+")) > (run_words or 0))
 
     rest = lambda s: F.filter(s.lines, lambda _, i: ~F.exists(s.cut, lambda r: (r["first"] <= i + 1) & (r["last"] > i)))
     bound = F.transform(F.array(F.split(text_col, "\n")), lambda x: F.struct(x.alias("lines"), F.filter("_ll_later", lambda r: is_whole(r, x)).alias("cut")))

@@ -160,7 +160,7 @@ def test_line_dedup_removes_whole_runs(spark, blank):
     for i in range(30):
         a = rng.randrange(0, 4) if i else 0
         docs.append((i, ("\n\n" if blank else "\n").join([line(), *passage[a : a + (rng.randrange(10, 15) if i else 14)], line(), passage[1], line()])))
-    out = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    out = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), run_words=linededup.RUN_WORDS).collect()}
     assert out[0] == docs[0][1] and plain_runs(docs)
     for d, text in docs[1:]:
         lines, own = out[d].split("\n"), [x for x in text.split("\n") if x not in passage and x]
@@ -173,7 +173,7 @@ def test_line_dedup_leaves_no_long_run_in_documents(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet").filter("text IS NOT NULL").select("doc_id", "text")
     before = [tuple(r) for r in df.collect()]
     assert plain_runs(before)
-    after = [tuple(r) for r in linededup.dedup_lines(df).collect()]
+    after = [tuple(r) for r in linededup.dedup_lines(df, run_words=linededup.RUN_WORDS).collect()]
     assert not plain_runs(after)
     lines = lambda rows: {x for _, t in rows for x in t.split("\n") if WORD.search(x)}
     assert lines(after) == lines(before)  # every line still stands somewhere
