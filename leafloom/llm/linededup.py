@@ -1,26 +1,32 @@
 """Line dedup by content-defined chunks of lines, in DataFrame functions only.
 
-A text's lines are hashed; a rolling hash over the last two line hashes
-chooses where a chunk ends, so a passage is cut alike wherever it stands
-and insertions elsewhere do not shift its chunks. A line of ``LONG_LINE``
-characters is a passage of its own, cut off before and after, so that it is
-found whatever its neighbours. Chunks of two or more lines, or of such a
-length, that occur again anywhere in the table are removed from all places
-but the first, by document id and position.
-
-Repeated chunks are found with a partial aggregate on (hash, bytes), so a
-chunk that holds a third of all rows leaves each task as one row. Their
-occurrences are found by joining on the hash, and every removal compares
-the bytes of the chunk with those of its first occurrence.
-
-A passage cut into single short lines has no such chunk. With ``run_words``
-(such as ``RUN_WORDS``) ``dedup_lines`` also looks at every pair of neighbouring lines (blank ones between them
-belong to it), by 128 bits of its SHA-256. Pairs that occur earlier, joined
-where they overlap, make up runs, and runs of more words than that
-are removed too: so a run that stands whole in one earlier document goes
-whole. Every removed line still stands where it came first. ``op5_linededup``
-and the pipeline leave it out, as the SQL of the one and the test of the other
-know chunks only.
+A text's lines are hashed, and a rolling hash runs over every two of them. A
+chunk ends after a line whose rolling hash is less than that of its
+neighbours, so a passage is cut alike wherever it stands, insertions
+elsewhere do not shift its chunks, and a chunk has two lines at least. A line
+of more than ``PASSAGE_WORDS`` words is a passage, and so a chunk, by itself.
+One short line between two such lines, or between one and the text's edge, is
+all that is left for a chunk of its own; it and chunks with fewer than two
+lines that hold a word are never removed for themselves.
+
+Chunks that occur again anywhere in the table are removed from all places but
+the first, by document id and position, with those lines right before and
+after them that equal, one by one, the lines next to the first occurrence, as
+far as its neighbouring chunks go. So a repeated passage goes to its edges,
+where its chunks straddle them, and every removed line still stands where it
+came first.
+
+1. Chunk hashes are counted: no text is shuffled for that. 2. Documents get
+the numbers of their chunks whose hash is repeated, and give the bytes of
+those chunks only. 3. A partial aggregate on (hash, bytes) finds the first
+place, so a chunk that holds a third of all rows leaves each task as one row;
+every removal is a match of bytes. 4. Documents get back line numbers.
+
+A passage of short lines that holds no whole chunk stays. With ``run_words``
+(such as ``PASSAGE_WORDS``) ``dedup_lines`` also looks at every pair of
+neighbouring lines (blank ones between them belong to it), by 128 bits of its
+SHA-256; pairs that occur earlier, joined where they overlap, make up runs,
+and runs of more words than that are removed too.
 
 Defined results: a null text stays null; an empty one stays empty; rows
 equal in id and text count as one document and get the same result; rows
@@ -34,12 +40,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LONG_LINE = 200
-DIVISOR = 2
-LEAST_LINES = 2
-RUN_WORDS = 50
+from leafloom.llm.shared import documents
+
+PASSAGE_WORDS = 50
 _SPACE = " \\t\\n\\x0B\\f\\r"
-_IDS = ("_ll_id", "_ll_text_hash")
+_WORD = f"[^{_SPACE}]+"
+#: The rolling hash: the hash of the line before times the factor plus that of the line, modulo a prime.
+_FACTOR, _PRIME = 65599, 4294967291
+_HASH = "_ll_text_hash"
 
 
 def line_hash(line: Column) -> Column:
@@ -47,33 +55,38 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
 
 
-def chunks(text: Column, divisor: int = DIVISOR, long_line: int = LONG_LINE) -> Column:
-    """array<struct<no, line, n_lines, body>>: the text's chunks in order; joined by line feeds they give the text."""
-    lines = F.split(text, "\n")
+def chunks(text: Column, passage_words: int = PASSAGE_WORDS) -> Column:
+    """array<struct<no, line, n_lines, body, whole>>: the text's chunks in order; joined by line feeds they give the text.
 
-    def cut(state: Column) -> Column:
-        lines, hashes = state.lines, state.hashes
-        n = F.size(lines)
-        at = lambda i: F.element_at(hashes, i)
-        rolled = lambda i: F.pmod(F.when(i > 1, at(F.greatest(i - 1, F.lit(1)))).otherwise(F.lit(0)) * 31 + at(i), F.lit(divisor)) == 0
-        is_long = lambda i: F.char_length(F.element_at(lines, i)) >= long_line
-        return F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | rolled(i) | is_long(i) | is_long(F.least(i + 1, n)))
-
-    def bodies(state: Column) -> Column:
-        begin = lambda k: F.when(k == 0, F.lit(1)).otherwise(F.element_at(state.ends, F.greatest(k, F.lit(1))) + 1)
-        return F.transform(
-            state.ends,
-            lambda end, k: F.struct(k.alias("no"), begin(k).alias("line"), (end - begin(k) + 1).alias("n_lines"), F.array_join(F.slice(state.lines, begin(k), end - begin(k) + 1), "\n").alias("body")),
-        )
+    ``whole`` tells whether the chunk may be removed if it is repeated.
+    """
+    words = lambda line: F.regexp_count(line, F.lit(_WORD))
+    lines = F.transform(F.split(text, "\n"), lambda t: F.struct(t.alias("t"), words(t).alias("w"), line_hash(t).alias("h")))
 
-    # one-element arrays bind what is used often, so that it is computed once a row
-    hashed = F.transform(F.array(lines), lambda x: F.struct(x.alias("lines"), F.transform(x, line_hash).alias("hashes")))
-    ended = F.transform(hashed, lambda s: F.struct(s.lines.alias("lines"), cut(s).alias("ends")))
-    return F.element_at(F.transform(ended, bodies), 1)
+    def rolled(state: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(state, i - 1)["h"], F.lit(0))
+        return F.transform(state, lambda x, i: F.pmod(before(i) * _FACTOR + x.h, F.lit(_PRIME)))
 
+    def ends(state: Column) -> Column:
+        n = F.size(state.lines)
+        r = lambda i: F.get(state.rolled, i - 1)
+        is_long = lambda i: F.get(state.lines, i - 1)["w"] > passage_words
+        least = lambda i: (r(i) < r(i - 1)) & (r(i) <= r(i + 1)) & ~(is_long(i - 1) | is_long(i) | is_long(i + 1) | is_long(i + 2))
+        return F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | is_long(i) | is_long(i + 1) | F.coalesce((i > 1) & (i < n - 1) & least(i), F.lit(False)))
 
-def eligible(chunk: Column, least_lines: int = LEAST_LINES, long_line: int = LONG_LINE) -> Column:
-    return (chunk.n_lines >= least_lines) | (F.char_length(chunk.body) >= long_line)
+    def cut(state: Column) -> Column:
+        def chunk(end: Column, k: Column) -> Column:
+            begin = F.coalesce(F.get(state.ends, k - 1), F.lit(0)) + 1
+            part = F.slice(state.lines, begin, end - begin + 1)
+            whole = F.when(end == begin, F.get(state.lines, end - 1)["w"] > passage_words).otherwise(F.size(F.filter(part, lambda x: x.w > 0)) > 1)
+            return F.struct((k + 1).alias("no"), begin.alias("line"), (end - begin + 1).alias("n_lines"), F.array_join(F.transform(part, lambda x: x.t), "\n").alias("body"), whole.alias("whole"))
+
+        return F.transform(state.ends, chunk)
+
+    # one-element arrays bind what is used often, so that it is computed once a row
+    bound = F.transform(F.array(lines), lambda x: F.struct(x.alias("lines"), rolled(x).alias("rolled")))
+    bound = F.transform(bound, lambda s: F.struct(s.lines.alias("lines"), ends(s).alias("ends")))
+    return F.element_at(F.transform(bound, cut), 1)
 
 
 def windows(text: Column) -> Column:
@@ -92,86 +105,92 @@ def windows(text: Column) -> Column:
     return F.element_at(F.transform(bound, pairs), 1)
 
 
-def _with_ids(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.withColumns({_IDS[0]: F.col(id_col), _IDS[1]: F.xxhash64(text_col)})
+def _joined(docs: DataFrame, by_doc: DataFrame, id_col: str, how: str) -> DataFrame:
+    """Documents with what was gathered for them under ``_ll_id`` and ``_ll_hash``."""
+    same = docs[id_col].eqNullSafe(by_doc["_ll_id"]) & (docs[_HASH] == by_doc["_ll_hash"])
+    return docs.join(by_doc, same, how).drop("_ll_id", "_ll_hash")
 
 
-def _joined(docs: DataFrame, by_doc: DataFrame) -> DataFrame:
-    same = docs[_IDS[0]].eqNullSafe(by_doc[_IDS[0]]) & (docs[_IDS[1]] == by_doc[_IDS[1]])
-    return docs.join(by_doc, same, "left").drop(by_doc[_IDS[0]]).drop(by_doc[_IDS[1]])
+def _same_lines(own: Column, first: Column, from_end: bool) -> Column:
+    """How many lines at the start, or at the end, of two texts are equal one by one; 0 if either is null."""
+    turned = (lambda x: F.reverse(F.split(x, "\n"))) if from_end else (lambda x: F.split(x, "\n"))
+    equal = F.zip_with(turned(own), turned(first), lambda a, b: a.eqNullSafe(b))
+    at = F.array_position(equal, F.lit(False)).cast("int")
+    return F.coalesce(F.when(at > 0, at - 1).otherwise(F.size(equal)), F.lit(0))
 
 
-def _later_chunks(docs: DataFrame, text_col: str, divisor: int, long_line: int, least_lines: int) -> DataFrame:
-    """ids, no, line, n_lines and body of the chunks that may have occurred before: their hashes have."""
-    place = F.struct(*_IDS, "no")
+def _later(docs: DataFrame, id_col: str, text_col: str, passage_words: int) -> DataFrame:
+    """_ll_id, _ll_hash, no, first, last: the lines to remove for each chunk that occurred before."""
+    ids = [F.col(id_col).alias("_ll_id"), F.col(_HASH).alias("_ll_hash")]
+    place = F.struct("_ll_id", "_ll_hash", "no")
+    cut = chunks(F.col(text_col), passage_words)
     spread = (
         docs.filter(F.col(text_col).isNotNull())
-        .select(*_IDS, F.explode(F.filter(chunks(F.col(text_col), divisor, long_line), lambda c: eligible(c, least_lines, long_line))).alias("c"))
-        .select(*_IDS, F.col("c.no").alias("no"), F.col("c.line").alias("line"), F.col("c.n_lines").alias("n_lines"), F.col("c.body").alias("body"), F.xxhash64("c.body").alias("h"))
+        .select(*ids, F.explode(F.transform(F.filter(cut, lambda c: c.whole), lambda c: F.struct(c.no.alias("no"), F.xxhash64(c.body).alias("h")))).alias("c"))
+        .select("_ll_id", "_ll_hash", "c.no", "c.h")
     )
-    repeated = spread.groupBy("h", "body").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n")
-    return spread.select(*_IDS, "no", "line", "n_lines", "h").join(repeated, "h").filter(~place.eqNullSafe(F.col("first")))
-
-
-def _later_runs(docs: DataFrame, text_col: str) -> DataFrame:
-    """ids, first and last line of the longest runs whose every pair of lines occurs earlier."""
-    place = F.struct(*_IDS, "no")
-    spread = docs.filter(F.col(text_col).isNotNull()).select(*_IDS, F.explode(windows(F.col(text_col))).alias("c")).select(*_IDS, "c.*")
+    repeated = spread.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("origin")).filter("n > 1").drop("n")
+    named = spread.join(repeated, "h").select("_ll_id", "_ll_hash", "no", place.eqNullSafe(F.col("origin")).alias("is_first"))
+    lists = named.groupBy("_ll_id", "_ll_hash").agg(F.collect_set("no").alias("_ll_named"), F.collect_set(F.when(F.col("is_first"), F.col("no"))).alias("_ll_first"))
+
+    def given(s: Column) -> Column:
+        def one(no: Column) -> Column:
+            c, first = F.get(s.c, no - 1), F.array_contains(s["first"], no)
+            beside = lambda k: F.when(first | ~F.array_contains(s.named, k), F.get(s.c, k - 1)["body"])
+            return F.struct(no.alias("no"), c.line.alias("line"), c.n_lines.alias("n_lines"), c.body.alias("body"), first.alias("is_first"), beside(no - 1).alias("before"), beside(no + 1).alias("after"))
+
+        return F.transform(s.named, one)
+
+    bound = F.transform(F.array(cut), lambda c: F.struct(c.alias("c"), F.col("_ll_named").alias("named"), F.col("_ll_first").alias("first")))
+    found = _joined(docs, lists, id_col, "inner").select(*ids, F.explode(F.element_at(F.transform(bound, given), 1)).alias("c")).select("_ll_id", "_ll_hash", "c.*").withColumn("h", F.xxhash64("body"))
+    beside = [F.when(F.col("is_first"), F.col(c)).alias(f"{c}_first") for c in ("before", "after")]
+    origin = found.groupBy("h", "body").agg(F.min(F.struct("_ll_id", "_ll_hash", "no", *beside)).alias("origin"))
+    both = found.join(origin, ["h", "body"]).filter(~place.eqNullSafe(F.struct("origin._ll_id", "origin._ll_hash", "origin.no")))
+    more = lambda c, from_end: _same_lines(F.col(c), F.col(f"origin.{c}_first"), from_end)
+    return both.select("_ll_id", "_ll_hash", "no", (F.col("line") - more("before", True)).alias("first"), (F.col("line") + F.col("n_lines") - 1 + more("after", False)).alias("last"))
+
+
+def _later_runs(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """_ll_id, _ll_hash, no, first, last of the longest runs of more words than that whose every pair of lines occurs earlier."""
+    ids = ("_ll_id", "_ll_hash")
+    place = F.struct(*ids, "no")
+    spread = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_ll_id"), F.col(_HASH).alias("_ll_hash"), F.explode(windows(F.col(text_col))).alias("c")).select(*ids, "c.*")
     repeated = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("origin")).filter("n > 1").drop("n")
     later = spread.join(repeated, "key").filter(~place.eqNullSafe(F.col("origin")))
     # rows equal in id and text give equal pairs, which share a rank
-    run = F.col("no") - F.dense_rank().over(Window.partitionBy(*_IDS).orderBy("no"))
-    return later.withColumn("run", run).groupBy(*_IDS, "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("run")
+    run = F.col("no") - F.dense_rank().over(Window.partitionBy(*ids).orderBy("no"))
+    runs = later.withColumn("run", run).groupBy(*ids, "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).groupBy(*ids).agg(F.collect_list(F.struct("first", "last")).alias("_ll_runs"))
+    text = lambda r: F.array_join(F.slice(F.split(text_col, "\n"), r["first"], r["last"] - r["first"] + 1), "\n")
+    long = F.filter("_ll_runs", lambda r: F.regexp_count(text(r), F.lit(_WORD)) > words)
+    return _joined(docs, runs, id_col, "inner").select(F.col(id_col).alias("_ll_id"), F.col(_HASH).alias("_ll_hash"), F.explode(long).alias("r")).select(*ids, F.lit(0).alias("no"), "r.first", "r.last")
 
 
-def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, long_line: int = LONG_LINE, least_lines: int = LEAST_LINES) -> DataFrame:
-    """The rows with ``_ll_chunks`` array<struct<no, n_lines, body, removed>>, null where the text is."""
-    docs = _with_ids(df, id_col, text_col)
-    by_doc = _later_chunks(docs, text_col, divisor, long_line, least_lines).groupBy(*_IDS).agg(F.collect_list(F.struct("no", "body")).alias("_ll_later"))
-    joined = _joined(docs, by_doc)
-
-    hit = lambda c: F.exists("_ll_later", lambda x: (x.no == c.no) & (x.body == c.body))
-    flagged = F.transform(
-        chunks(F.col(text_col), divisor, long_line),
-        lambda c: F.struct(c.no.alias("no"), c.n_lines.alias("n_lines"), c.body.alias("body"), F.coalesce(hit(c), F.lit(False)).alias("removed")),
-    )
-    return joined.select(*df.columns, flagged.alias("_ll_chunks"))
+def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage_words: int = PASSAGE_WORDS, run_words: int | None = None) -> DataFrame:
+    """The rows with ``_ll_lines``, the numbers of the lines that stay, or null where all do, and ``_ll_removed``, the number of chunks removed."""
+    docs = df.withColumn(_HASH, F.xxhash64(text_col))
+    found = _later(docs, id_col, text_col, passage_words)
+    if run_words is not None:
+        found = found.unionByName(_later_runs(docs, id_col, text_col, run_words))
+    # rows equal in id and text name the same lines
+    lists = found.groupBy("_ll_id", "_ll_hash").agg(F.collect_set(F.struct("first", "last")).alias("_ll_cut"), F.collect_set(F.when(F.col("no") > 0, F.col("no"))).alias("_ll_no"))
+    gone = F.flatten(F.transform("_ll_cut", lambda r: F.sequence(r["first"], r["last"])))
+    stay = F.when(F.col("_ll_cut").isNotNull(), F.array_except(F.sequence(F.lit(1), F.size(F.split(text_col, "\n"))), gone))
+    return _joined(docs, lists, id_col, "left").select(*df.columns, stay.alias("_ll_lines"), F.coalesce(F.size("_ll_no"), F.lit(0)).alias("_ll_removed"))
 
 
-def _kept_text() -> Column:
-    return F.array_join(F.transform(F.filter("_ll_chunks", lambda c: ~c.removed), lambda c: c.body), "\n")
+def _kept_text(text_col: str) -> Column:
+    """The text without the removed lines; null where none is removed."""
+    bound = F.transform(F.array(F.split(text_col, "\n")), lambda x: F.array_join(F.transform("_ll_lines", lambda i: F.get(x, i - 1)), "\n"))
+    return F.when(F.col("_ll_lines").isNotNull(), F.element_at(bound, 1))
 
 
-def dedup_lines(
-    df: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    n_chars_col: str | None = "n_chars",
-    drop_emptied: bool = True,
-    divisor: int = DIVISOR,
-    long_line: int = LONG_LINE,
-    least_lines: int = LEAST_LINES,
-    run_words: int | None = None,
-) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = "n_chars", drop_emptied: bool = True, passage_words: int = PASSAGE_WORDS, run_words: int | None = None) -> DataFrame:
     """The rows with later occurrences of repeated chunks removed from their texts, and with ``run_words`` those of runs of lines over so many words.
 
     ``n_chars_col``, where the rows have it, follows the new length. With ``drop_emptied``
     a document goes whose every word has been removed, as its text stands elsewhere.
     """
-    docs = _with_ids(df, id_col, text_col)
-    found = _later_chunks(docs, text_col, divisor, long_line, least_lines).select(*_IDS, F.col("line").alias("first"), (F.col("line") + F.col("n_lines") - 1).alias("last"), "body")
-    if run_words is not None:
-        found = found.unionByName(_later_runs(docs, text_col).withColumn("body", F.lit(None).cast("string")))
-    joined = _joined(docs, found.groupBy(*_IDS).agg(F.collect_list(F.struct("first", "last", "body")).alias("_ll_later")))
-
-    def is_whole(r: Column, lines: Column) -> Column:
-        text = F.array_join(F.slice(lines, r["first"], r["last"] - r["first"] + 1), "\n")
-        return F.when(r.body.isNotNull(), text == r.body).otherwise(F.regexp_count(text, F.lit(f"[^{_SPACE}]+")) > (run_words or 0))
-
-    rest = lambda s: F.filter(s.lines, lambda _, i: ~F.exists(s.cut, lambda r: (r["first"] <= i + 1) & (r["last"] > i)))
-    bound = F.transform(F.array(F.split(text_col, "\n")), lambda x: F.struct(x.alias("lines"), F.filter("_ll_later", lambda r: is_whole(r, x)).alias("cut")))
-    kept = F.element_at(F.transform(bound, lambda s: F.when(F.size(s.cut) > 0, F.array_join(rest(s), "\n"))), 1)
-    new = joined.withColumn("_ll_kept", F.when(F.col("_ll_later").isNotNull(), kept))
+    new = mark(df, id_col, text_col, passage_words, run_words).withColumn("_ll_kept", _kept_text(text_col))
     touched = F.col("_ll_kept").isNotNull()
     if drop_emptied:
         new = new.filter(~touched | F.col("_ll_kept").rlike(f"[^{_SPACE}]"))
@@ -181,35 +200,46 @@ def dedup_lines(
 
 
 def op5_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's chunks, those removed, and the text that stays."""
-    marked = mark(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    removed = F.filter("_ll_chunks", lambda c: c.removed)
+    """Every document's removed chunks and lines, and the text that stays."""
+    marked = mark(documents(spark, sf_dir))
+    n_lines = F.size(F.split("text", "\n"))
     return marked.select(
         "doc_id",
-        F.size("_ll_chunks").cast("long").alias("n_chunks"),
-        F.size(removed).cast("long").alias("n_removed"),
-        F.aggregate(removed, F.lit(0).cast("long"), lambda n, c: n + c.n_lines).alias("n_removed_lines"),
-        _kept_text().alias("text"),
+        F.col("_ll_removed").cast("long").alias("n_removed"),
+        F.coalesce(n_lines - F.size("_ll_lines"), F.lit(0)).cast("long").alias("n_removed_lines"),
+        F.coalesce(_kept_text("text"), "text").alias("text"),
     )
 
 
 QUERIES = {"op5_linededup": op5_linededup}
 
+#: Written over single lines and windows of them, not over arrays as the operator is.
 ORACLES = {
-    "op5_linededup": f"""
-WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
-h AS (SELECT doc_id, ls, list_transform(ls, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS hs FROM d),
-e AS (SELECT doc_id, ls, list_filter(range(1, len(ls) + 1), lambda i:
-        i = len(ls) OR ((CASE WHEN i > 1 THEN hs[i - 1] ELSE 0 END) * 31 + hs[i]) % {DIVISOR} = 0
-        OR length(ls[i]) >= {LONG_LINE} OR length(ls[least(i + 1, len(ls))]) >= {LONG_LINE}) AS ends FROM h),
-b AS (SELECT doc_id, unnest(range(1, len(ends) + 1)) AS k, ls, ends FROM e),
-c AS (SELECT doc_id, k, ends[k] - s AS n_lines, array_to_string(ls[s + 1:ends[k]], chr(10)) AS body
-      FROM (SELECT *, CASE WHEN k = 1 THEN 0 ELSE ends[k - 1] END AS s FROM b)),
-o AS (SELECT *, n_lines >= {LEAST_LINES} OR length(body) >= {LONG_LINE} AS eligible FROM c),
-r AS (SELECT *, eligible AND row_number() OVER (PARTITION BY body, eligible ORDER BY doc_id, k) > 1 AS removed FROM o)
-SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (removed) AS n_removed,
-       coalesce(sum(n_lines) FILTER (removed), 0)::BIGINT AS n_removed_lines,
-       coalesce(string_agg(body, chr(10) ORDER BY k) FILTER (NOT removed), '') AS text
-FROM r GROUP BY doc_id
+    "op5_linededup": rf"""
+WITH ls AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+a AS (SELECT *, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS w, ('0x' || substr(md5(t), 1, 8))::BIGINT AS h, count(*) OVER (PARTITION BY doc_id) AS n FROM ls),
+b AS (SELECT *, (coalesce(lag(h) OVER d, 0) * {_FACTOR} + h) % {_PRIME} AS r, w > {PASSAGE_WORDS} AS big FROM a WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT *, i = n OR big OR lead(big) OVER d
+        OR (i BETWEEN 2 AND n - 2 AND r < lag(r) OVER d AND r <= lead(r) OVER d AND NOT (lag(big) OVER d OR lead(big) OVER d OR lead(big, 2) OVER d)) AS ends
+      FROM b WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+k AS (SELECT *, count(*) FILTER (ends) OVER (PARTITION BY doc_id ORDER BY i) - ends::INT AS k FROM c),
+m AS (SELECT doc_id, k, min(i) AS lo, max(i) AS hi, string_agg(t, chr(10) ORDER BY i) AS body, CASE WHEN count(*) = 1 THEN bool_or(big) ELSE count(*) FILTER (w > 0) > 1 END AS whole FROM k GROUP BY doc_id, k),
+o AS (SELECT *, row_number() OVER p AS copy, first(doc_id) OVER p AS doc0, first(k) OVER p AS k0, first(lo) OVER p AS lo0, first(hi) OVER p AS hi0
+      FROM m WHERE whole WINDOW p AS (PARTITION BY body ORDER BY doc_id, k)),
+later AS (SELECT * FROM o WHERE copy > 1),
+-- how many lines of the chunk after, and of the chunk before, equal those of the first occurrence's neighbour
+up AS (SELECT l.doc_id, l.k, coalesce(min(x.i) FILTER (y.t IS NULL OR x.t <> y.t), max(x.i) + 1) - l.hi - 1 AS n
+       FROM later l JOIN k x ON x.doc_id = l.doc_id AND x.k = l.k + 1 LEFT JOIN k y ON y.doc_id = l.doc0 AND y.k = l.k0 + 1 AND y.i - l.hi0 = x.i - l.hi GROUP BY l.doc_id, l.k, l.hi),
+down AS (SELECT l.doc_id, l.k, l.lo - 1 - coalesce(max(x.i) FILTER (y.t IS NULL OR x.t <> y.t), min(x.i) - 1) AS n
+       FROM later l JOIN k x ON x.doc_id = l.doc_id AND x.k = l.k - 1 LEFT JOIN k y ON y.doc_id = l.doc0 AND y.k = l.k0 - 1 AND l.lo0 - y.i = l.lo - x.i GROUP BY l.doc_id, l.k, l.lo),
+-- a neighbour whose own hash is repeated is judged by itself
+named AS (SELECT doc_id, k FROM o QUALIFY count(*) OVER (PARTITION BY body) > 1),
+cut AS (SELECT l.doc_id, l.lo - CASE WHEN p.k IS NULL THEN coalesce(down.n, 0) ELSE 0 END AS lo, l.hi + CASE WHEN q.k IS NULL THEN coalesce(up.n, 0) ELSE 0 END AS hi
+        FROM later l LEFT JOIN up USING (doc_id, k) LEFT JOIN down USING (doc_id, k)
+        LEFT JOIN named p ON p.doc_id = l.doc_id AND p.k = l.k - 1 LEFT JOIN named q ON q.doc_id = l.doc_id AND q.k = l.k + 1),
+left_over AS (SELECT doc_id, count(*) AS n, string_agg(t, chr(10) ORDER BY i) AS text FROM ls WHERE NOT EXISTS (SELECT 1 FROM cut WHERE cut.doc_id = ls.doc_id AND ls.i BETWEEN cut.lo AND cut.hi) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_removed, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) - coalesce(l.n, 0) END::BIGINT AS n_removed_lines,
+       CASE WHEN d.text IS NOT NULL THEN coalesce(l.text, '') END AS text
+FROM documents d LEFT JOIN left_over l USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM later GROUP BY doc_id) c USING (doc_id)
 """
 }

@@ -1,5 +1,6 @@
 """Near-dedup, line dedup, top-k and language-model scores against brute force."""
 
+import hashlib
 import math
 import random
 import re
@@ -114,20 +115,104 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(1, 201)}, 1001: 1000, 1003: 1000}
 
 
-def test_line_chunks_shift(spark):
+def random_line(rng):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(rng.randrange(3, 12)))
+
+
+def test_repeated_passages_go_to_their_edges(spark):
     rng = random.Random(8)
-    line = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(rng.randrange(3, 12)))
-    passage, long_line = [line() for _ in range(14)], " ".join(["passage"] * 60)
+    line = lambda: random_line(rng)
+    passage, long_line = [line() for _ in range(40)], " ".join(["passage"] * 51)
+    docs = [(i, "\n".join([*(line() for _ in range(rng.randrange(1, 9))), *passage, line(), long_line, *(line() for _ in range(rng.randrange(1, 4)))])) for i in range(30)]
+    out = {r.doc_id: r.text.split("\n") for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out[0] == docs[0][1].split("\n")
+    left = 0
+    for i, text in docs[1:]:
+        assert [x for x in out[i] if x not in passage] == [x for x in text.split("\n") if x not in passage and x != long_line]
+        left += sum(x in passage for x in out[i])
+    assert left <= 0.05 * 29 * len(passage)
+
+
+def test_passages_of_any_length(spark):
+    """Of passages of over 50 words in short lines, those with a whole chunk go; a shorter one may hold none."""
+    rng = random.Random(2)
+    share = {}
+    for n in (6, 10, 20):
+        passages = [[random_line(rng) + " and so on" for _ in range(n)] for _ in range(60)]
+        docs = [(2 * i + j, "\n".join([random_line(rng), random_line(rng), random_line(rng), *p, random_line(rng), random_line(rng), random_line(rng)])) for i, p in enumerate(passages) for j in (0, 1)]
+        out = {r.doc_id: r.text.split("\n") for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert all(out[2 * i] == docs[2 * i][1].split("\n") for i in range(60))
+        share[n] = 1 - sum(x in p for i, p in enumerate(passages) for x in out[2 * i + 1]) / (60 * n)
+        whole = {r.doc_id: r.text.split("\n") for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), run_words=50).collect()}
+        assert not any(x in p for i, p in enumerate(passages) for x in whole[2 * i + 1] if len(" ".join(p).split()) > 50)
+    assert share[20] > 0.95 and share[10] > 0.6, share
+
+
+def test_chunks_are_shift_resistant_and_have_two_lines(spark):
+    rng = random.Random(4)
+    lines = [random_line(rng) for _ in range(300)]
+    texts = ["\n".join(lines), "\n".join([random_line(rng), *lines[:150], random_line(rng), *lines[150:]])]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").select("doc_id", linededup.chunks(F.col("text")).alias("c")).collect()
+    one, two = ([c.body for c in r.c] for r in sorted(rows))
+    assert ["\n".join(x) for x in (one, two)] == texts and all("\n" in c for c in one + two)
+    assert len(set(one) - set(two)) <= 4 and len(one) > 70
+
+
+def test_line_dedup_of_a_hostile_text(spark):
+    """One text of 50,000 repeated chunks, in time that grows with its length."""
+    long_line = " ".join(["w"] * 51)
+    df = spark.createDataFrame([(1, "\n".join([long_line] * 50_000)), (2, "\n" * 100_000), (3, "a " * 500_000)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in linededup.dedup_lines(df).collect()}
+    assert out == {1: long_line, 2: "\n" * 100_000, 3: "a " * 500_000}
+
+
+def plain_chunks(text):
+    """(first line, lines) of each chunk, by the rule read line by line."""
+    lines = text.split("\n")
+    n, h = len(lines), [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+    r = [((h[i - 1] if i else 0) * 65599 + h[i]) % 4294967291 for i in range(n)]
+    big = [len(WORD.findall(x)) > 50 for x in lines]
+    out, start = [], 0
+    for i in range(n):
+        least = 1 <= i < n - 2 and r[i] < r[i - 1] and r[i] <= r[i + 1] and not any(big[i - 1 : i + 3])
+        if i == n - 1 or big[i] or big[i + 1] or least:
+            out.append((start, lines[start : i + 1]))
+            start = i + 1
+    return out
+
+
+def plain_line_dedup(rows):
+    """The texts that stay, by dictionaries of chunks: {id: text}; ids are distinct and texts not null."""
+    cut = {d: plain_chunks(t) for d, t in rows}
+    places = defaultdict(list)
+    for d in sorted(cut):
+        for k, (_, lines) in enumerate(cut[d]):
+            if len(WORD.findall(" ".join(lines))) > 50 if len(lines) == 1 else sum(bool(WORD.search(x)) for x in lines) > 1:
+                places["\n".join(lines)].append((d, k))
+    again = {p for at in places.values() if len(at) > 1 for p in at}
+    gone = defaultdict(set)
+    same = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    for (d0, k0), *later in places.values():
+        for d, k in later:
+            at, lines = cut[d][k]
+            lo, hi = at, at + len(lines)
+            if k and k0 and (d, k - 1) not in again:
+                lo -= same(cut[d][k - 1][1][::-1], cut[d0][k0 - 1][1][::-1])
+            if k + 1 < len(cut[d]) and k0 + 1 < len(cut[d0]) and (d, k + 1) not in again:
+                hi += same(cut[d][k + 1][1], cut[d0][k0 + 1][1])
+            gone[d].update(range(lo, hi))
+    return {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in rows}
+
+
+def test_line_dedup_matches_brute_force(spark):
+    rng = random.Random(6)
+    pool = [random_line(rng) for _ in range(60)] + [" ".join(rng.choices("abcdef", k=60)) for _ in range(6)] + ["", "x"]
     docs = []
-    for i in range(6):
-        own = [line() for _ in range(rng.randrange(1, 9))]
-        docs.append((i, "\n".join([*own, *passage, line(), long_line, line()])))
-    out = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert out[0] == docs[0][1]
-    for i in range(1, 6):
-        assert long_line not in out[i]
-        assert sum(p in out[i].split("\n") for p in passage) <= 7
-        assert docs[i][1].split("\n")[0] in out[i].split("\n")
+    for i in range(80):
+        at = rng.randrange(50)
+        docs.append((i, "\n".join([*rng.choices(pool, k=rng.randrange(5)), *pool[at : at + rng.randrange(16)], *rng.choices(pool[-10:], k=rng.randrange(4))])))
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), drop_emptied=False).collect()}
+    assert got == plain_line_dedup(docs) and sum(got[d] != t for d, t in docs) > 20
 
 
 def plain_runs(docs, words=50):
@@ -160,7 +245,7 @@ def test_line_dedup_removes_whole_runs(spark, blank):
     for i in range(30):
         a = rng.randrange(0, 4) if i else 0
         docs.append((i, ("\n\n" if blank else "\n").join([line(), *passage[a : a + (rng.randrange(10, 15) if i else 14)], line(), passage[1], line()])))
-    out = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), run_words=linededup.RUN_WORDS).collect()}
+    out = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), run_words=linededup.PASSAGE_WORDS).collect()}
     assert out[0] == docs[0][1] and plain_runs(docs)
     for d, text in docs[1:]:
         lines, own = out[d].split("\n"), [x for x in text.split("\n") if x not in passage and x]
@@ -173,24 +258,25 @@ def test_line_dedup_leaves_no_long_run_in_documents(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet").filter("text IS NOT NULL").select("doc_id", "text")
     before = [tuple(r) for r in df.collect()]
     assert plain_runs(before)
-    after = [tuple(r) for r in linededup.dedup_lines(df, run_words=linededup.RUN_WORDS).collect()]
+    after = [tuple(r) for r in linededup.dedup_lines(df, run_words=linededup.PASSAGE_WORDS).collect()]
     assert not plain_runs(after)
     lines = lambda rows: {x for _, t in rows for x in t.split("\n") if WORD.search(x)}
     assert lines(after) == lines(before)  # every line still stands somewhere
 
 
 def test_line_dedup_edges(spark):
-    text = "one line here\n" + "x" * 250 + "\nlast"
-    rows = [(1, None, 0), (2, "", 0), (3, text, len(text)), (3, text, len(text)), (4, "x" * 250, 250), (None, "y" * 300, 300), (5, "y" * 300 + "\nrest", 305), (6, "z\nz\nz\nz", 7)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumns({c: F.lit("k") for c in ("no", "body", "h", "first")})
+    x, y = " ".join(["x"] * 51), " ".join(["y"] * 51)
+    text = f"one line here\n{x}\nlast"
+    rows = [(1, None, 0), (2, "", 0), (3, text, len(text)), (3, text, len(text)), (4, x, 101), (None, y, 101), (5, f"{y}\nrest", 106), (6, "z\nz\nz\nz", 7), (7, "\n\n\n", 3), (8, "\n\n\n", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumns({c: F.lit("k") for c in ("no", "body", "h", "first", "_ll", "n")})
     out = linededup.dedup_lines(df)
     assert out.columns == df.columns
     got = Counter((r.doc_id, r.text, r.n_chars) for r in out.collect())
     assert got[(1, None, 0)] == got[(2, "", 0)] == 1 and got[(3, text, len(text))] == 2
     assert not any(k[0] == 4 for k in got)  # all its words stand in document 3
-    assert got[(None, "y" * 300, 300)] == 1 and got[(5, "rest", 4)] == 1
+    assert got[(None, y, 101)] == 1 and got[(5, "rest", 4)] == 1 and got[(7, "\n\n\n", 3)] == got[(8, "\n\n\n", 3)] == 1
     kept = linededup.dedup_lines(df, drop_emptied=False)
-    assert kept.count() == 8 and kept.filter("doc_id = 4").first().text == ""
+    assert kept.count() == 10 and kept.filter("doc_id = 4").first().text == ""
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 

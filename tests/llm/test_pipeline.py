@@ -1,17 +1,16 @@
 """The pipeline's stages against brute force, each on its own input."""
 
 import sys
-from collections import defaultdict
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parent))
 
 import corpus_pipeline  # noqa: E402
-from test_corpus_operators import plain_components  # noqa: E402
+from test_corpus_operators import plain_components, plain_line_dedup  # noqa: E402
 from test_row_operators import plain_pii, plain_quality  # noqa: E402
 from test_token_operators import check_packed  # noqa: E402
 
-from leafloom.llm import linededup, pii  # noqa: E402
+from leafloom.llm import pii  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,15 +28,8 @@ def test_stages(spark, tmp_path):
     assert texts[1].keys() <= kept and len(texts[1]) > 0.8 * len(kept)
     assert all(texts[1][d] == texts[0][d] for d in texts[1])
 
-    places = defaultdict(list)
-    cut = seen[1].select("doc_id", linededup.chunks(seen[1].text).alias("c")).collect()
-    for r in cut:
-        for c in r.c:
-            if c.n_lines > 1 or len(c.body) >= linededup.LONG_LINE:
-                places[c.body].append((r.doc_id, c.no))
-    for r in cut:
-        left = "\n".join(c.body for c in r.c if c.body not in places or min(places[c.body]) == (r.doc_id, c.no))
-        assert texts[2].get(r.doc_id, "") == left or not left.strip() and r.doc_id not in texts[2]
+    for d, left in plain_line_dedup(list(texts[1].items())).items():
+        assert texts[2].get(d, "") == left or not left.strip() and d not in texts[2]
 
     component = plain_components(list(texts[2].items()), 5)
     assert texts[3].keys() == {d for d, c in component.items() if c == d}
