@@ -38,9 +38,18 @@ _IP_TAIL = re.compile(r"\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL = re.compile(r"[^\s<>\"'`{}|\\^]+")
-_IBAN = re.compile(r"[ :#]{1,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
-_SSN = re.compile(r"[ :#]{1,4}([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
-_ACCOUNT = re.compile(r"(?:[ ]?(?:number|no\.?|nr\.?|#))?[ :#]{1,4}([0-9]{6,17})(?![0-9A-Za-z])")
+#: What may stand between a cue and its number: "number", then a verb, then a mark.
+_BETWEEN = r"(?:[ ]?(?:[Nn]umbers?|[Nn]o\.?|[Nn]r\.?|#))?(?:[ ]{1,3}(?:is|was|are|ist|est|es))?[ ]?[:=#]?[ ]{0,3}"
+_IBAN = re.compile(_BETWEEN + r"(?<![A-Za-z0-9])([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
+_SSN = re.compile(_BETWEEN + r"(?<![A-Za-z0-9])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
+_ACCOUNT = re.compile(_BETWEEN + r"(?<![A-Za-z0-9])([0-9]{6,17})(?![0-9A-Za-z])")
+#: Fixed lengths of account numbers by country.
+_IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24,
+    "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28,
+    "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29,
+    "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 
 #: Fixed cues, in lower case, and the parser that each starts.
 _CUES = {"http://": "url", "https://": "url", "ftp://": "url", "iban": "iban", "ssn": "ssn", "social security": "ssn", "account": "account", "acct": "account"}
@@ -74,6 +83,19 @@ def iban_ok(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
 
 
+def iban_end(text: str, start: int, end: int) -> int | None:
+    """Where the account number that begins text[start:end] ends: after its country's length, or the longest valid one of another country."""
+    places = [i for i in range(start, end) if text[i] != " "]
+    own = _IBAN_LENGTH.get(text[start : start + 2])
+    for n in [own] if own else range(len(places), 14, -1):
+        if n > len(places):
+            continue
+        stop = places[n - 1] + 1
+        if not text[stop : stop + 1].isalnum() and iban_ok(text[start:stop]):
+            return stop
+    return None
+
+
 def scan(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every span, by start and then by the order of kinds."""
     out: list[tuple[int, int, str]] = []
@@ -130,9 +152,10 @@ def _expand(text: str, at: int, end: int, what: str, out: list, done: dict) -> N
                 done[what] = stop
     elif what == "iban":
         m = _IBAN.match(text, end)
-        if m and iban_ok(m[1]):
-            out.append((m.start(1), m.end(1), what))
-            done[what] = m.end()
+        stop = iban_end(text, m.start(1), m.end(1)) if m else None
+        if stop:
+            out.append((m.start(1), stop, what))
+            done[what] = stop
     elif what == "ssn":
         m = _SSN.match(text, end)
         if m and m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000":
