@@ -38,7 +38,8 @@ _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?[ ]*[:=][
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _CRC_TOKEN = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-_JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
+_JWT_HEADER = re.compile(r"eyJ[A-Za-z0-9_-]+")
+_JWT_REST = re.compile(r"\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----")
 #: Fixed keywords in lower case and the kind that each may start.
 _KEYWORDS = {
@@ -75,7 +76,7 @@ def crc62(payload: str) -> str:
 def _json_header(part: str) -> bool:
     try:
         return "alg" in json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
-    except (ValueError, TypeError, binascii.Error):
+    except (ValueError, TypeError, binascii.Error, RecursionError):  # the last for brackets nested without end
         return False
 
 
@@ -106,10 +107,14 @@ def scan(text: str, automata: tuple) -> list[tuple[int, int, str, bool | None]]:
                 done[kind] = m.end()
                 out.append((at, m.end(), kind, crc62(m[1]) == m[2]))
         elif kind == "jwt":
-            m = _JWT.match(text, at)
-            if m and _json_header(m[1]):
+            # the first hit of a run of base64 characters starts its header; what follows the run is the same for all its hits
+            m = _JWT_HEADER.match(text, at)
+            if m:
                 done[kind] = m.end()
-                out.append((at, m.end(), kind, True))
+                rest = _JWT_REST.match(text, m.end())
+                if rest and _json_header(m[0]):
+                    done[kind] = rest.end()
+                    out.append((at, rest.end(), kind, True))
         else:
             m = _PRIVATE.match(text, at)
             if m:
