@@ -4,8 +4,9 @@ A document's zstandard ratio (compressed by raw bytes) is taken over the
 whole text and over fixed chunks. Each length class has its own band:
 below it a text is repetitive, above it incompressible. A text is rejected
 when its whole ratio leaves the band, or when more than a given share of
-its chunks do. Word and line counts come from vectorised passes over the
-batch's bytes.
+its chunks do; the last chunk overlaps the one before, so every byte is
+judged. Word and line counts come from vectorised passes over the
+batch's bytes; repeated windows and lines are confirmed by their bytes.
 
 Defined results: a null or empty text has no words, so it fails the base
 rule; a null id is passed on; rows are independent; other columns are not
@@ -64,19 +65,18 @@ def verdict(data: bytes, bands: Bands, press: zstandard.ZstdCompressor) -> tuple
     lowest = highest = ratio
     bad = chunks = 0
     if n > bands.chunk_bytes:
-        # whole chunks only: a short rest would carry mostly the frame's bytes
-        rest = [len(press.compress(data[i : i + bands.chunk_bytes])) / bands.chunk_bytes for i in range(0, n - bands.chunk_bytes + 1, bands.chunk_bytes)]
+        # a short rest would carry mostly the frame's bytes, so the last chunk is the text's last bytes and overlaps the one before
+        starts = [*range(0, n - bands.chunk_bytes, bands.chunk_bytes), n - bands.chunk_bytes]
+        rest = [len(press.compress(data[i : i + bands.chunk_bytes])) / bands.chunk_bytes for i in starts]
         lowest, highest, chunks = min(rest), max(rest), len(rest)
         bad = sum(not bands.chunk[0] <= r <= bands.chunk[1] for r in rest)
     reason = "repetitive" if ratio < low else "incompressible" if ratio > high else "chunks" if bad > bands.bad_chunk_share * chunks else None
     return ratio, lowest, highest, reason
 
 
-def _repeats(group: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """For each row, how many rows have the same group and value; 1 if alone."""
-    key = value + textops.mix(group.astype(np.uint64) + np.uint64(1))
-    _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
-    return counts[inverse]
+def _in_document(group: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Keys that differ for equal values of different documents."""
+    return value + textops.mix(group.astype(np.uint64) + np.uint64(1))
 
 
 def measures(offsets: np.ndarray, raw: np.ndarray) -> dict[str, np.ndarray]:
@@ -88,9 +88,18 @@ def measures(offsets: np.ndarray, raw: np.ndarray) -> dict[str, np.ndarray]:
     out = {"n_words": words.counts, "word_chars": by_doc(words.doc, points[words.end] - points[words.start])}
     out["n_symbols"] = by_doc(np.searchsorted(offsets, np.flatnonzero(_SYMBOL[raw]), side="right") - 1)
 
-    at, value = words.windows(words.hashes(), WINDOW)
+    at, value = words.windows(textops.span_hashes(raw, words.start, words.end), WINDOW)
     covered = np.zeros(len(words.start) + 1, dtype=np.int64)
-    again = at[_repeats(words.doc[at], value) > 1] if len(at) else at
+
+    def same_windows(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        same = words.doc[at[i]] == words.doc[at[j]]
+        for k in range(WINDOW):
+            a, b = at[i] + k, at[j] + k
+            same &= textops.same_spans(raw, words.start[a], words.end[a], raw, words.start[b], words.end[b])
+        return same
+
+    kind, _ = textops.classes(_in_document(words.doc[at], value), same_windows)
+    again = at[np.bincount(kind)[kind] > 1] if len(at) else at
     np.add.at(covered, again, 1)
     np.add.at(covered, again + WINDOW, -1)
     inside = np.cumsum(covered[:-1]) > 0
@@ -105,8 +114,8 @@ def measures(offsets: np.ndarray, raw: np.ndarray) -> dict[str, np.ndarray]:
     has_word = np.searchsorted(words.start, ends, side="left") > np.searchsorted(words.start, starts, side="left")
     starts, ends, doc = starts[has_word], ends[has_word], doc[has_word]
     if len(starts):
-        key = textops.span_hashes(raw, starts, ends) + textops.mix(doc.astype(np.uint64) + np.uint64(1))
-        first = np.unique(key, return_index=True)[1]
+        same_lines = lambda i, j: (doc[i] == doc[j]) & textops.same_spans(raw, starts[i], ends[i], raw, starts[j], ends[j])
+        _, first = textops.classes(_in_document(doc, textops.span_hashes(raw, starts, ends)), same_lines)
         out["n_dup_lines"] = by_doc(doc) - by_doc(doc[first])
     else:
         out["n_dup_lines"] = np.zeros(n, dtype=np.int64)
