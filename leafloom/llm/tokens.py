@@ -17,7 +17,7 @@ from functools import cached_property, lru_cache
 import numpy as np
 import public_tokenizers
 
-from leafloom.llm.textops import span_hashes
+from leafloom.llm.textops import same_spans, span_hashes
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
@@ -83,8 +83,9 @@ class _Recent(dict):
 class WordIds:
     """Token ids, as little-endian unsigned 32-bit integers, of texts.
 
-    Pre-tokens of many texts are found and told apart together (by 64-bit hashes of their
-    bytes). Those that the cache lacks go to the library a thousand at a time, parted by
+    Pre-tokens of many texts are found and told apart together, by 64-bit hashes and then,
+    against each other and against those in the cache, by their bytes; texts with two that
+    only share a hash go through the whole file instead. Those that the cache lacks go to the library a thousand at a time, parted by
     spaces, through the file's model without the normalising steps that they have been
     through; the ids are cut after each word-end token. Texts with other characters than
     ``_SIMPLE`` go through the whole file, word by word.
@@ -109,6 +110,8 @@ class WordIds:
         self.keys, self.place = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
         self.begin, self.count, self.flat = (np.zeros(1 << 12, dtype=np.int32) for _ in range(3))
         self.used = 0
+        #: bytes of all pre-tokens after one another, and where each place's end
+        self.text, self.text_end = np.zeros(1 << 12, dtype=np.uint8), np.zeros(1, dtype=np.int64)
 
     @cached_property
     def tokenizer(self):
@@ -132,6 +135,11 @@ class WordIds:
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
         """Adds pre-tokens, whose hashes are new and sorted."""
         first = len(self.keys)
+        raw, ends = np.frombuffer("".join(words).encode("latin-1"), dtype=np.uint8), self.text_end[-1] + np.cumsum([len(w) for w in words])
+        while ends[-1] > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
+        self.text[self.text_end[-1] : ends[-1]] = raw
+        self.text_end = np.concatenate([self.text_end, ends])
         where = np.searchsorted(self.keys, keys)
         self.keys, self.place = np.insert(self.keys, where, keys), np.insert(self.place, where, np.arange(first, first + len(keys), dtype=np.int32))
         while len(self.keys) > len(self.begin):
@@ -153,12 +161,18 @@ class WordIds:
         unique, first, inverse = np.unique(span_hashes(data, begin, end), return_index=True, return_inverse=True)
         if len(self.keys) + len(unique) > self.limit:
             self._forget()
+        rep = first[inverse]
+        if not same_spans(data, begin, end, data, begin[rep], end[rep]).all():
+            return [self._other(t) for t in texts]
         where = np.searchsorted(self.keys, unique)
         new = np.flatnonzero((where == len(self.keys)) | (self.keys[np.minimum(where, len(self.keys) - 1)] != unique) if len(self.keys) else np.ones(len(unique), dtype=bool))
         if len(new):
             places = first[new]
             self._learn(unique[new], [raw[b:e].decode("latin-1") for b, e in zip(begin[places].tolist(), end[places].tolist(), strict=True)])
             where = np.searchsorted(self.keys, unique)
+        at = self.place[where].astype(np.int64)
+        if not same_spans(data, begin[first], end[first], self.text[: self.text_end[-1]], self.text_end[at], self.text_end[at + 1]).all():
+            return [self._other(t) for t in texts]
         run = self.place[where][inverse]
         count = self.count[run].astype(np.int64)
         upto = np.cumsum(count)
@@ -189,10 +203,16 @@ def word_ids(path: str | None = None) -> WordIds:
 
 #: A printable ASCII character and then a space or line feed: no match of the pattern has white space after anything else.
 _SAFE = re.compile(r"(?<=[!-~])(?=[ \n])")
+#: Long runs of the pattern's white space, on which the library's matcher runs out of stack.
+_GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
 
 class RankIds:
-    """Byte-pair ids by a file of ranks, without special tokens."""
+    """Byte-pair ids by a file of ranks, without special tokens.
+
+    In a long run of white space all but the last character are one match of the
+    pattern, or all of it at the text's end, so that match is encoded by itself.
+    """
 
     def __init__(self, path: str | None = None, pattern: str | None = None, cut: int = 50_000) -> None:
         import tiktoken
@@ -207,12 +227,20 @@ class RankIds:
             return self.encoding.encode_ordinary(text)
         out: list[int] = []
         at = 0
-        while at < len(text):
-            safe = _SAFE.search(text, min(len(text), at + self.cut))
-            to = safe.start() if safe else len(text)
+        for gap in _GAP.finditer(text):
+            self._add(out, text, at, gap.start())
+            at = gap.end() if gap.end() == len(text) else gap.end() - 1
+            out += self.encoding._core_bpe.encode_single_piece(text[gap.start() : at].encode())
+        self._add(out, text, at, len(text))
+        return out
+
+    def _add(self, out: list[int], text: str, at: int, end: int) -> None:
+        """The ids of text[at:end], cut where no match can span the cut."""
+        while at < end:
+            safe = _SAFE.search(text, min(end, at + self.cut), end)
+            to = safe.start() if safe else end
             out += self.encoding.encode_ordinary(text[at:to])
             at = to
-        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return self.encoding.decode_bytes(ids)
