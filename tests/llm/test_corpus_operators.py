@@ -295,21 +295,65 @@ def test_oracles(spark, name, module):
     assert Counter(map(tuple, df.collect())) == Counter(want) and len(want) > 0
 
 
+def plain_top_k(rows, is_query, k):
+    """Every query id's best rows; a row counts once, with the best score of the query's vectors."""
+    valid = [(n, i, v) for n, (i, v) in enumerate(rows) if i is not None and v and None not in v]
+    want = {}
+    for q in {i for _, i, _ in valid if is_query(i)}:
+        best = {}
+        for _, i, v in valid:
+            if i == q:
+                for n, c, u in valid:
+                    if c != q and len(u) == len(v):
+                        best[n, c] = max(best.get((n, c), -math.inf), max(-(2**63) + 1, min(2**63 - 1, sum(a * b for a, b in zip(u, v, strict=True)))))
+        top = sorted((-s, c) for (_, c), s in best.items())[:k]
+        want[q] = [(r + 1, c, -s) for r, (s, c) in enumerate(top)]
+    return want
+
+
+def found_top_k(spark, df, is_query, k, **more):
+    got = defaultdict(list)
+    for r in topk.top_k(df, is_query, Workspace(spark, "test"), k=k, **more).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    return {q: sorted(x) for q, x in got.items()}
+
+
 def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(3)
-    ids = [*range(300), 7, 20]  # two ids twice
+    ids = [*range(300), 7, 20, 40, 40]  # an id twice, two query ids twice and thrice
     vectors = [rng.integers(-3, 4, 5).tolist() for _ in ids]
-    rows = [*zip(ids, vectors, strict=True), (900, None), (901, [1, None, 2, 3, 4]), (902, [1, 2]), (920, [5, 6]), (None, [1] * 5), (903, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<long>, id string, score string".replace(", id string, score string", ""))
-    got = defaultdict(list)
-    for r in topk.top_k(df.withColumns({c: F.lit("x") for c in ("id", "v", "dim", "shard", "score")}), F.col("vec_id") % 20 == 0, k=7, shard_rows=40, query_rows=4).collect():
-        got[r.query_id].append((r["rank"], r.vec_id, r.score))
-    valid = [(i, v) for i, v in rows if i is not None and v and None not in v]
-    for q, v in valid:
-        if q % 20 == 0 and q != 20:
-            best = sorted((-sum(a * b for a, b in zip(v, u, strict=True)), i) for i, u in valid if i != q and len(u) == len(v))[:7]
-            assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    vectors[-2] = vectors[40]  # one of them with the same vector
+    rows = [*zip(ids, vectors, strict=True), (900, None), (901, [1, None, 2, 3, 4]), (902, [1, 2]), (920, [5, 6]), (None, [1] * 5), (903, []), (40, [1, 1]), *[(1000 + i, [2, 2, 2, 2, 2]) for i in range(300)]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<long>").withColumns({c: F.lit("x") for c in ("id", "v", "dim", "part", "score", "group")})
+    got = found_top_k(spark, df, F.col("vec_id") % 20 == 0, 7, shard_rows=40, query_rows=4)
+    assert got == {q: x for q, x in plain_top_k(rows, lambda i: i % 20 == 0, 7).items() if x}
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0, Workspace(spark, "test")).count() == 0
+
+
+def test_top_k_of_huge_components(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [int(x) for x in rng.integers(-(2**62), 2**62, 3)]) for i in range(40)] + [(100 + i, [int(x) for x in rng.integers(-(2**33), 2**33, 3)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<long>")
+    assert found_top_k(spark, df, F.col("vec_id") % 10 == 0, 5, shard_rows=20) == plain_top_k(rows, lambda i: i % 10 == 0, 5)
+
+
+def test_top_k_sends_queries_where_the_bound_reaches(spark, monkeypatch):
+    """200,000 clustered vectors against brute force; few of all pairs of query and shard are searched."""
+    rng = np.random.default_rng(5)
+    vectors = (rng.integers(-300, 300, (100, 12))[rng.integers(0, 100, 200_000)] + rng.integers(-9, 10, (200_000, 12))).astype(np.int64)
+    sent = {}
+    written = Workspace.written
+    monkeypatch.setattr(Workspace, "written", lambda self, df, name: sent.setdefault(name, written(self, df, name)))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<long>")
+    got = found_top_k(spark, df, F.col("vec_id") % 1000 == 0, 10)
+    shards = sent["others"].select("group", "part").distinct().count()
+    assert shards > 30 and sent["others"].count() < 0.2 * 200 * shards
+    for q in range(0, 200_000, 1000):
+        score = vectors @ vectors[q]
+        score[q] = -(2**62)
+        near = np.flatnonzero(score >= np.partition(score, -10)[-10])
+        want = sorted(zip((-score[near]).tolist(), near.tolist(), strict=True))[:10]
+        assert got[q] == [(r + 1, c, -s) for r, (s, c) in enumerate(want)]
 
 
 def test_ball_tree_prunes_and_stays_exact():
@@ -320,7 +364,7 @@ def test_ball_tree_prunes_and_stays_exact():
     ids, q_ids = np.arange(len(vectors)), np.arange(len(vectors))[::100]
     s = topk.Search(ids, vectors, q_ids, queries, np.full(len(queries), topk._NONE + 1), 5)
     assert s.scored < 0.5 * len(queries) * len(vectors)
-    q, v, score = s.results()
+    q, v, _, score = s.results()
     for i, x in zip(q_ids, queries, strict=True):
         all_scores = vectors @ x
         want = sorted((-int(all_scores[j]), int(j)) for j in range(len(vectors)) if j != i)[:5]
@@ -372,28 +416,97 @@ def test_many_buckets_and_blocks_change_no_count(spark, monkeypatch):
         assert (got[d].n_tokens, got[d].n_known, got[d].train_tokens) == w[1:4] and got[d].base_score == pytest.approx(w[4])
 
 
-def test_blocks_change_no_context(spark, monkeypatch):
-    # one word, which ends as others do, is over the share in all, but only in half of the blocks
-    rows = [(i, " ".join(random.Random(i).choices(["often9", *(f"w{k}" for k in range(60))], weights=[16 if i < 20 else 5, *[1] * 60], k=50))) for i in range(40)]
+def plain_model(rows, s):
+    """Scores by a sampler in plain loops, seat by seat, and the sums of all contexts' probabilities."""
+    texts = [WORD.findall(lower(t)) for _, t in rows]
+    train = [x for (d, _), x in zip(rows, texts, strict=True) if not pitmanyor.is_held_out(d)]
+    counts = Counter(w for x in train for w in [*x, None])
+    n_train = sum(counts.values())
+    name = {w: int(pitmanyor.END) if w is None else int(textops.strong_hashes(np.frombuffer(w.encode(), dtype=np.uint8), np.array([0]), np.array([len(w.encode())]))[0]) for x in texts for w in [*x, None]}
+    hot = sorted((name[w], w is None, w) for w, c in counts.items() if c > 1 and c * pitmanyor.CONTEXT_STEP >= math.sqrt(n_train))
+    number = {w: pitmanyor.FIRST + i for i, (_, _, w) in enumerate(hot)}
+    context = lambda w: number.get(w, 1 + w.encode()[-1])
+    pairs = lambda x: [(0 if i == 0 else context(x[i - 1]), w) for i, w in enumerate([*x, None])]
+    n = Counter(p for x in train for p in pairs(x))
+    customers = Counter()
+    for (c, _), k in n.items():
+        customers[c] += k
+    word_key = lambda w: pitmanyor._mixed(s.seed, sweep, np.array([name[w]], dtype=np.uint64), 0)
+
+    def sit(k, base, step, d, key):
+        t = min(k, 1)
+        for sat in range(1, k):
+            new = base + step * t
+            if pitmanyor.uniform(key, np.array([sat]))[0] * (new + max(sat - d * t, 1e-9)) < new:
+                t += 1
+        return t
+
+    share = lambda x: min(0.95, max(0.05, sum(v == 1 for v in x) / (sum(v == 1 for v in x) + 2 * sum(v == 2 for v in x)))) if 1 in x else 0.5
+    t = dict.fromkeys(n, 1)
+    root_n = Counter(w for _, w in t)
+    root_t = dict.fromkeys(root_n, 1)
+    d, root_d, v = share(list(n.values())), share(list(root_n.values())), len(counts)
+    scores, sums = [0.0] * len(rows), []
+    p = defaultdict(float)
+    for sweep in range(1, s.burn_in + s.samples + 1):
+        tables = Counter()
+        for (c, _), x in t.items():
+            tables[c] += x
+        base, all_n = (s.root_strength + root_d * sum(root_t.values())) / (v + 1), sum(root_n.values())
+        new = {}
+        for (c, w), k in n.items():
+            rest = root_n[w] - t[c, w]
+            parent = (rest - root_d * min(root_t[w], rest) + base) / (s.root_strength + all_n)
+            key = pitmanyor._mixed(s.seed, sweep, np.array([name[w]], dtype=np.uint64), c + 1)
+            new[c, w] = sit(k, (s.strength + d * (tables[c] - t[c, w])) * parent, d * parent, d, key) if k > 1 else 1
+        t = new
+        root_n = Counter()
+        for (_, w), x in t.items():
+            root_n[w] += x
+        root_t = {w: sit(x, base, 0.0, root_d, word_key(w)) for w, x in root_n.items()}
+        if sweep > s.burn_in:
+            tables = Counter()
+            for (c, _), x in t.items():
+                tables[c] += x
+            base, all_n = (s.root_strength + root_d * sum(root_t.values())) / (v + 1), sum(root_n.values())
+            root = lambda w: (root_n[w] - root_d * root_t.get(w, 0) + base) / (s.root_strength + all_n)
+            chance = lambda c, w: (n[c, w] - d * t.get((c, w), 0) + (s.strength + d * tables[c]) * root(w)) / (s.strength + customers[c])
+            sums += [sum(chance(c, w) for w in [*counts, "never seen"]) for c in customers]
+            for x in texts:
+                for c, w in set(pairs(x)):
+                    p[c, w, sweep] = chance(c, w)
+    for i, x in enumerate(texts):
+        scores[i] = sum(math.log10(sum(p[c, w, k] for k in range(s.burn_in + 1, s.burn_in + s.samples + 1)) / s.samples) for c, w in pairs(x))
+    return scores, sums
+
+
+def tiny_corpus():
+    rng = random.Random(12)
+    words = ["the", "of", "a", "often9", "longer-than-eight", "zz\x00", *(f"w{k}" for k in range(40))]
+    return [(i, " ".join(rng.choices(words, weights=[20, 14, 9, 16 if i < 20 else 5, 3, 2, *[1] * 40], k=rng.randrange(0, 50)))) for i in range(60)]
+
+
+def test_language_model_equals_a_plain_sampler(spark, monkeypatch):
+    rows, s = tiny_corpus(), pitmanyor.Sweeps(samples=3)
+    want, sums = plain_model(rows, s)
+    assert sums == pytest.approx([1.0] * len(sums))  # every context's probabilities, with that of an unseen word
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(pitmanyor, "CONTEXTS", 8)
-    scores = lambda x: {r.doc_id: r.score for r in pitmanyor.score_texts(x, Workspace(spark, "test")).collect()}
-    assert scores(df.repartitionByRange(4, "doc_id")) == pytest.approx(scores(df.coalesce(1)))
+    for partitions, tokens, words, together in ((1, 600_000, 300_000, 500_000), (3, 100, 7, 5), (50, 30, 3, 40)):
+        monkeypatch.setattr(pitmanyor, "BLOCK_TOKENS", tokens)
+        monkeypatch.setattr(pitmanyor, "BUCKET_WORDS", words)
+        monkeypatch.setattr(pitmanyor, "TOGETHER", together)
+        got = {r.doc_id: r.score for r in pitmanyor.score_texts(df.repartition(partitions), Workspace(spark, "test"), sweeps=s).collect()}
+        assert [got[i] for i, _ in rows] == pytest.approx(want, rel=1e-12)
 
 
 def test_seating_follows_the_restaurant():
-    rng = np.random.default_rng(1)
     # a one-dish restaurant of strength 1 and discount 0.5: the mean number of tables is known
-    n, s, d = 40, 1.0, 0.5
-    t = pitmanyor.seat(np.full(20_000, n), np.full(20_000, s), np.full(20_000, d), d, rng)
-    mean = math.exp(math.lgamma(s + d + n) + math.lgamma(s) - math.lgamma(s + n) - math.lgamma(s + d)) * s / d - s / d
-    assert abs(t.mean() - mean) < 0.05 * mean and t.min() >= 1 and t.max() <= n
-    # the customers seated in groups give nearly the same
-    n = 5000
-    t = pitmanyor.seat(np.full(3000, n), np.full(3000, s), np.full(3000, d), d, rng)
-    mean = math.exp(math.lgamma(s + d + n) + math.lgamma(s) - math.lgamma(s + n) - math.lgamma(s + d)) * s / d - s / d
-    assert abs(t.mean() - mean) < 0.06 * mean
-    assert pitmanyor.seat(np.array([0, 1, 2]), np.ones(3), np.ones(3), 0.5, rng).tolist()[:2] == [0, 1]
+    s, d = 1.0, 0.5
+    for n, dishes in ((40, 20_000), (5000, 3000)):
+        t = pitmanyor.seat(np.full(dishes, n), np.full(dishes, s), np.full(dishes, d), d, textops.mix(np.arange(dishes).astype(np.uint64)))
+        mean = math.exp(math.lgamma(s + d + n) + math.lgamma(s) - math.lgamma(s + n) - math.lgamma(s + d)) * s / d - s / d
+        assert abs(t.mean() - mean) < 0.05 * mean and t.min() >= 1 and t.max() <= n
+    assert pitmanyor.seat(np.array([0, 1, 2]), np.ones(3), np.ones(3), 0.5, np.arange(3).astype(np.uint64)).tolist()[:2] == [0, 1]
 
 
 def test_word_identity():
@@ -401,3 +514,17 @@ def test_word_identity():
     w = textops.Words(offsets, raw)
     h = w.hashes()
     assert w.counts.tolist() == [2, 0, 3] and h[0] == h[2] == h[3] and len(set(h.tolist())) == 3
+
+
+def test_words_that_share_a_hash_are_told_apart(monkeypatch):
+    rng = random.Random(3)
+    words = [bytes(rng.choices(b"ab\x00", k=rng.choice([1, 2, 3, 7, 8, 9, 16, 17, 70]))) for _ in range(500)] * 2
+    raw = np.frombuffer(b"".join(words), dtype=np.uint8)
+    end = np.cumsum([len(w) for w in words])
+    start = end - np.array([len(w) for w in words])
+    for hashes in (textops.span_hashes, lambda r, s, e: (e - s).astype(np.uint64) % np.uint64(3)):
+        monkeypatch.setattr(textops, "span_hashes", hashes)
+        kind, first = textops.span_classes(raw, start, end)
+        assert len(first) == len(set(words)) and all(words[first[k]] == w for k, w in zip(kind, words, strict=True))
+        strong = textops.strong_hashes(raw, start, end)
+        assert len(set(strong.tolist())) == len(set(words))
