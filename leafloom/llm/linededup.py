@@ -20,7 +20,8 @@ came first.
 the numbers of their chunks whose hash is repeated, and give the bytes of
 those chunks only. 3. A partial aggregate on (hash, bytes) finds the first
 place, so a chunk that holds a third of all rows leaves each task as one row;
-every removal is a match of bytes. 4. Documents get back line numbers.
+every removal is a match of bytes. Occurrences of very common hashes are dealt
+to parts (``HotKeys``), so no join meets a hot key. 4. Documents get back line numbers.
 
 A passage of short lines that holds no whole chunk stays. With ``run_words``
 (such as ``PASSAGE_WORDS``) ``dedup_lines`` also looks at every pair of
@@ -40,7 +41,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafloom.llm.shared import documents
+from leafloom.llm.shared import HotKeys, Workspace, documents
 
 PASSAGE_WORDS = 50
 _SPACE = " \\t\\n\\x0B\\f\\r"
@@ -129,23 +130,26 @@ def _later(docs: DataFrame, id_col: str, text_col: str, passage_words: int) -> D
         .select(*ids, F.explode(F.transform(F.filter(cut, lambda c: c.whole), lambda c: F.struct(c.no.alias("no"), F.xxhash64(c.body).alias("h")))).alias("c"))
         .select("_ll_id", "_ll_hash", "c.no", "c.h")
     )
-    repeated = spread.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("origin")).filter("n > 1").drop("n")
-    named = spread.join(repeated, "h").select("_ll_id", "_ll_hash", "no", place.eqNullSafe(F.col("origin")).alias("is_first"))
-    lists = named.groupBy("_ll_id", "_ll_hash").agg(F.collect_set("no").alias("_ll_named"), F.collect_set(F.when(F.col("is_first"), F.col("no"))).alias("_ll_first"))
+    space = Workspace(docs.sparkSession, "lines")
+    repeated = space.written(spread.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("origin")).filter("n > 1"), "repeated")
+    hot, ids_only = HotKeys(repeated, ["h"], "n"), ["_ll_id", "_ll_hash"]
+    named = hot.join(spread, repeated.drop("n"), ids_only).select("_ll_id", "_ll_hash", "no", place.eqNullSafe(F.col("origin")).alias("is_first"))
+    lists = named.groupBy("_ll_id", "_ll_hash").agg(F.array_sort(F.collect_set(F.struct("no", "is_first"))).alias("_ll_named"))
 
     def given(s: Column) -> Column:
-        def one(no: Column) -> Column:
-            c, first = F.get(s.c, no - 1), F.array_contains(s["first"], no)
-            beside = lambda k: F.when(first | ~F.array_contains(s.named, k), F.get(s.c, k - 1)["body"])
-            return F.struct(no.alias("no"), c.line.alias("line"), c.n_lines.alias("n_lines"), c.body.alias("body"), first.alias("is_first"), beside(no - 1).alias("before"), beside(no + 1).alias("after"))
+        def one(x: Column, i: Column) -> Column:
+            c = F.get(s.c, x.no - 1)
+            # the list is in order, so a neighbour that is named too stands beside
+            beside = lambda k: F.when(x.is_first | ~F.coalesce(F.get(s.named, i + k)["no"] == x.no + k, F.lit(False)), F.get(s.c, x.no - 1 + k)["body"])
+            return F.struct(x.no.alias("no"), c.line.alias("line"), c.n_lines.alias("n_lines"), c.body.alias("body"), x.is_first.alias("is_first"), beside(-1).alias("before"), beside(1).alias("after"))
 
         return F.transform(s.named, one)
 
-    bound = F.transform(F.array(cut), lambda c: F.struct(c.alias("c"), F.col("_ll_named").alias("named"), F.col("_ll_first").alias("first")))
+    bound = F.transform(F.array(cut), lambda c: F.struct(c.alias("c"), F.col("_ll_named").alias("named")))
     found = _joined(docs, lists, id_col, "inner").select(*ids, F.explode(F.element_at(F.transform(bound, given), 1)).alias("c")).select("_ll_id", "_ll_hash", "c.*").withColumn("h", F.xxhash64("body"))
     beside = [F.when(F.col("is_first"), F.col(c)).alias(f"{c}_first") for c in ("before", "after")]
     origin = found.groupBy("h", "body").agg(F.min(F.struct("_ll_id", "_ll_hash", "no", *beside)).alias("origin"))
-    both = found.join(origin, ["h", "body"]).filter(~place.eqNullSafe(F.struct("origin._ll_id", "origin._ll_hash", "origin.no")))
+    both = hot.join(found, origin, ids_only, ["h", "body"]).filter(~place.eqNullSafe(F.struct("origin._ll_id", "origin._ll_hash", "origin.no")))
     more = lambda c, from_end: _same_lines(F.col(c), F.col(f"origin.{c}_first"), from_end)
     return both.select("_ll_id", "_ll_hash", "no", (F.col("line") - more("before", True)).alias("first"), (F.col("line") + F.col("n_lines") - 1 + more("after", False)).alias("last"))
 

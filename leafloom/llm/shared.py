@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leafloom.session import spread, table
 
@@ -38,6 +39,32 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+class HotKeys:
+    """Keys with more than one part in ``PARTS`` of all rows, fewer than ``PARTS`` therefore, and a join that deals them out.
+
+    ``keyed`` has a row for each key and its number of rows in ``weight``. Of two tables
+    joined by the key, the rows of the larger one are dealt to parts by ``by``, as many as
+    the key has parts of the whole, and the other's one row is copied to each.
+    """
+
+    PARTS = 1000
+
+    def __init__(self, keyed: DataFrame, keys: list[str], weight: str, total: int | None = None) -> None:
+        self.keys = keys
+        total = total or keyed.agg(F.sum(weight)).first()[0] or 1
+        hot = keyed.filter(F.col(weight) * self.PARTS > total)
+        self.table = F.broadcast(hot.select(*keys, F.ceil(F.col(weight) * self.PARTS / total).cast("long").alias("_parts")))
+
+    def _with_parts(self, df: DataFrame) -> DataFrame:
+        return df.join(self.table, self.keys, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1).cast("long")))
+
+    def join(self, many: DataFrame, one: DataFrame, by: list[str], keys: list[str] | None = None, how: str = "inner") -> DataFrame:
+        """``many`` with ``one``; ``keys``, if others than the hot ones, include those."""
+        dealt = self._with_parts(many).withColumn("_part", F.pmod(F.xxhash64(*by), F.col("_parts"))).drop("_parts")
+        copied = self._with_parts(one).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
+        return dealt.join(copied, [*(keys or self.keys), "_part"], how).drop("_part")
+
+
 class Workspace:
     """A folder of one run's intermediate tables and files; removed at exit, or table by table."""
 
