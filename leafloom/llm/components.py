@@ -6,6 +6,8 @@ star), until edges form stars around each component's smallest node. Rounds
 are few (they grow with the logarithm of the size), every one of them is a
 few aggregates and joins on node ids, and its edges are written to the
 shared folder, so nothing of the graph reaches the driver but a checksum.
+The edges of a node that has more than a thousandth of all are dealt to
+parts, so the centre of a large star is no hot key.
 """
 
 from __future__ import annotations
@@ -13,18 +15,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafloom.llm.shared import Workspace
+from leafloom.llm.shared import HotKeys, Workspace
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    joined = HotKeys(least, ["a"], "n", 2 * total).join(both, least.drop("n"), ["b"])
+    return joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    joined = HotKeys(least, ["a"], "n", total).join(edges, least.drop("n"), ["b"])
+    moved = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -35,7 +39,8 @@ def components(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
     before, k = mark(now), 0
     while True:
         k += 1
-        after = space.written(_small_star(_large_star(now)), f"{name}-{k}")
+        # a large star moves edges and adds none
+        after = space.written(_small_star(_large_star(now, before[0]), before[0]), f"{name}-{k}")
         seen = mark(after)
         space.drop(f"{name}-{k - 1}")
         now = after

@@ -19,6 +19,12 @@
    component that a member reaches. So no link between components goes
    unchecked, and no group is expanded into all its pairs.
 
+Band keys, hubs, sets of copies and centres of stars with more than a
+thousandth of all rows are dealt to parts where rows are joined by them.
+
+Shingles are told apart by 64-bit hashes, built from the words' own: a
+bijection of words up to eight bytes and BLAKE2b beyond.
+
 Defined results: texts without words have no shingles and are linked with
 nothing; rows with the same id are one document, linked by any of its
 texts; a row without id has no component and is kept; an empty table gives
@@ -36,7 +42,7 @@ from pyspark.sql import functions as F
 
 from leafloom.llm import textops
 from leafloom.llm.components import components
-from leafloom.llm.shared import Workspace, documents
+from leafloom.llm.shared import HotKeys, Workspace, documents
 
 U64 = np.uint64
 BUCKET_BITS, MANTISSA_BITS, BAND = 7, 10, 4
@@ -60,7 +66,7 @@ def shingle_sets(offsets: np.ndarray, raw: np.ndarray, size: int) -> tuple[np.nd
         short = np.flatnonzero(counts == n)
         acc = np.full(len(short), n, dtype=U64)
         for k in range(n):
-            acc = textops.mix(acc * U64(0xD6E8FEB86659FD93) + hashes[first[short] + k])
+            acc = textops.chained(acc, hashes[first[short] + k])
         more.append((short, acc))
     doc = np.concatenate([doc, *(d for d, _ in more)])
     value = np.concatenate([value, *(v for _, v in more)])
@@ -281,22 +287,22 @@ def near_duplicates(df: DataFrame, space: Workspace, id_col: str = "doc_id", tex
     """id, n_shingles, component_id, kept for every row; links where 100 |a & b| >= percent |a | b|."""
     docs = space.written(sketches(df, id_col, text_col, size), "sketches")
     equal = ["f1", "f2", "n"]
-    classes = space.written(docs.filter("n > 0 and id is not null").groupBy(*equal).agg(F.min("id").alias("rep")), "classes")
-    # a class member is its representative if it has its id; rows equal in id and set are one
-    reps = space.written(docs.join(classes, equal).filter("id = rep").select("id", "n", "regs").dropDuplicates(["id", "n", "regs"]), "reps")
+    some = docs.filter("n > 0 and id is not null")
+    # equal sets have equal registers
+    classes = space.written(some.groupBy(*equal).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c"), F.first("regs").alias("regs")), "classes")
+    reps = classes.select(F.col("rep").alias("id"), "n", "regs")
 
     keys = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS // BAND - 1)), lambda b: F.xxhash64(b, F.substring("regs", b * (2 * BAND) + 1, F.lit(2 * BAND))))
     bands = reps.select("id", F.explode(keys).alias("key"))
-    hubs = bands.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    groups = space.written(bands.join(hubs, "key"), "groups")
+    hubs = space.written(bands.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1"), "hubs")
+    groups = space.written(HotKeys(hubs, ["key"], "c").join(bands, hubs.drop("c"), ["id"]).select("hub", "id"), "groups")
     sets = space.written(sets_of(df, groups.select("id").distinct(), id_col, text_col, size), "sets")
 
     often = groups.filter("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("c"))
     first = often.groupBy("id").agg(F.max(F.struct("c", (-F.col("hub")).alias("h"))).alias("m")).select(F.col("id").alias("a"), (-F.col("m.h")).alias("b"))
     # rows of one id are one document, so an id links the classes of all its texts
-    member = docs.join(classes, equal).select("id", "rep")
-    several = member.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("id")
-    own = member.join(several, "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    several = some.groupBy("id").agg(F.min(F.struct(*equal)).alias("lo"), F.max(F.struct(*equal)).alias("hi")).filter("lo <> hi").select("id")
+    own = some.select("id", *equal).join(several, "id").join(classes.select(*equal, "rep"), equal).select(F.col("id").alias("a"), F.col("rep").alias("b"))
     links = space.written(_links(_promising(first, reps, percent), sets, percent).unionAll(own), "links")
     comp = components(links, space, "comp-a")
 
@@ -304,13 +310,13 @@ def near_duplicates(df: DataFrame, space: Workspace, id_col: str = "doc_id", tex
     placed = groups.select("hub", "id").distinct().join(comp.withColumnRenamed("node", "id"), "id", "left").select("hub", "id", F.coalesce("component", "id").alias("comp"))
     parts = placed.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("c"))
     split = parts.groupBy("hub").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    split = split.select("hub", F.col("top.comp").alias("top"), "size", (F.col("size") - F.col("top.c")).alias("n_out"))
-    left = placed.join(split, "hub").join(reps, "id").join(sets, "id").select("hub", "id", "comp", F.size("s").cast("long").alias("n"), "regs", "s", (F.col("comp") != F.col("top")).alias("out"), "size", "n_out")
+    split = space.written(split.select("hub", F.col("top.comp").alias("top"), "size", (F.col("size") - F.col("top.c")).alias("n_out")), "split")
+    left = HotKeys(split, ["hub"], "size").join(placed, split, ["id"]).join(reps, "id").join(sets, "id").select("hub", "id", "comp", F.size("s").cast("long").alias("n"), "regs", "s", (F.col("comp") != F.col("top")).alias("out"), "size", "n_out")
     more = space.written(_linked_blocks(left, percent), "links-more")
     comp = components(links.unionAll(more), space, "comp-b")
 
-    labels = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(*equal, F.coalesce("component", "rep").alias("component"))
-    out = docs.select("id", *equal).join(labels, equal, "left")
+    labels = classes.select("rep", *equal).join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(*equal, F.coalesce("component", "rep").alias("component"))
+    out = HotKeys(classes.select(*equal, "c"), equal, "c").join(docs.select("id", *equal), labels, ["id"], how="left")
     found = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), found.alias("component_id"), F.coalesce(F.col("id") == found, F.lit(True)).alias("kept"))
 
