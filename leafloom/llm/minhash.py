@@ -193,7 +193,7 @@ def _regs(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, BUCKETS)
 
 
-def _promising(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def _promising(pairs: DataFrame, reps: DataFrame, percent: int, hot: HotKeys) -> DataFrame:
     """The pairs (a, b) whose sizes and estimates allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,14 +204,14 @@ def _promising(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                 yield batch.select([0, 1]).filter(pa.array(ok))
 
     side = lambda c: reps.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"r_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "r_a", "n_b", "r_b")
+    both = hot.join(pairs.join(side("a"), "a"), side("b"), ["a"]).select("a", "b", "n_a", "r_a", "n_b", "r_b")
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, percent: int, hot: HotKeys) -> DataFrame:
     """The pairs that are linked by their full sets."""
     side = lambda c: sets.select(F.col("id").alias(c), F.col("s").alias(f"s_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = hot.join(pairs.join(side("a"), "a"), side("b"), ["a"])
     shared = F.size(F.array_intersect("s_a", "s_b"))
     return both.filter(100 * shared >= percent * (F.size("s_a") + F.size("s_b") - shared)).select("a", "b").distinct()
 
@@ -300,10 +300,12 @@ def near_duplicates(df: DataFrame, space: Workspace, id_col: str = "doc_id", tex
 
     often = groups.filter("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("c"))
     first = often.groupBy("id").agg(F.max(F.struct("c", (-F.col("hub")).alias("h"))).alias("m")).select(F.col("id").alias("a"), (-F.col("m.h")).alias("b"))
+    first = space.written(first, "first")
+    hot = HotKeys(first.groupBy("b").agg(F.count(F.lit(1)).alias("c")), ["b"], "c")
     # rows of one id are one document, so an id links the classes of all its texts
     several = some.groupBy("id").agg(F.min(F.struct(*equal)).alias("lo"), F.max(F.struct(*equal)).alias("hi")).filter("lo <> hi").select("id")
     own = some.select("id", *equal).join(several, "id").join(classes.select(*equal, "rep"), equal).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = space.written(_links(_promising(first, reps, percent), sets, percent).unionAll(own), "links")
+    links = space.written(_links(_promising(first, reps, percent, hot), sets, percent, hot).unionAll(own), "links")
     comp = components(links, space, "comp-a")
 
     # two classes that share a band share its group's hub, so what is left lies among the members of one hub
