@@ -14,8 +14,12 @@ FILE_HOSTS = ("dropbox.com", "drive.google.com", "mega.nz", "mediafire.com", "we
 SHORTENERS = ("bit.ly", "tinyurl.com", "t.co", "goo.gl", "ow.ly", "is.gd", "buff.ly", "cutt.ly", "rb.gy")
 RISKY_ENDINGS = (".zip", ".mov", ".xyz", ".top", ".tk", ".gq", ".ml", ".cf", ".ga", ".work", ".click")
 UNSAFE_SCHEMES = ("javascript:", "file:", "data:")
-#: Fixed expressions of hosts that are not public.
-PRIVATE_HOSTS = (r"^localhost$", r"^0\.0\.0\.0$", r"^\[?::1\]?$", r"^$", r"^127\.", r"^10\.", r"^172\.(1[6-9]|2[0-9]|3[01])\.", r"^192\.168\.", r"^169\.254\.", r"^\[?f[cd][0-9a-f]{2}:")
+#: Fixed names of hosts that are not public; the empty one too.
+PRIVATE_NAMES = ("", "localhost", "0.0.0.0", "::1")
+#: Fixed ranges of addresses that are not public: the first number, and the second from and to, if it matters.
+PRIVATE_RANGES = ((10, None, None), (127, None, None), (169, 254, 254), (172, 16, 31), (192, 168, 168))
+#: The first 16 bits of local addresses of the newer kind.
+LOCAL_FIRST, LOCAL_LAST = 0xFC00, 0xFDFF
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -50,7 +54,14 @@ def rating(url: Column) -> Column:
 
 
 def is_private(host: Column) -> Column:
-    return _any([F.lower(F.coalesce(host, F.lit(""))).rlike(p) for p in PRIVATE_HOSTS])
+    """The host is a name of this machine or an address of a range that is not public."""
+    low = F.regexp_replace(F.lower(F.coalesce(host, F.lit(""))), r"^\[|\]$", "")
+    labels = F.split(low, r"\.")
+    number = lambda i: F.try_element_at(labels, F.lit(i)).try_cast("int")
+    ranges = [(number(1) == a) & (F.size(labels) > 1 if b is None else number(2).between(b, c) & (F.size(labels) > 2)) for a, b, c in PRIVATE_RANGES]
+    first = F.regexp_extract(low, "^([0-9a-f]{4}):", 1)
+    local = (first != "") & F.conv(first, 16, 10).cast("int").between(LOCAL_FIRST, LOCAL_LAST)
+    return F.coalesce(low.isin(*PRIVATE_NAMES) | local | _any([F.coalesce(r, F.lit(False)) for r in ranges]), F.lit(False))
 
 
 def is_pdf_url(url: Column) -> Column:

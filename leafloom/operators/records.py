@@ -1,11 +1,7 @@
-"""Side pipelines: issues as SARIF, engine verdicts, forms' scripts, logs."""
+"""Side pipelines: issues as SARIF, engine verdicts, logs."""
 
 from __future__ import annotations
 
-import math
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,104 +61,3 @@ def paged(rows: DataFrame, order_cols: list[str], size: int, most: int) -> DataF
 def first_number(*texts: Column) -> Column:
     """The first of several texts that is all digits, as a number."""
     return F.coalesce(*[F.when(t.rlike("^[0-9]+$"), t.cast("long")) for t in texts])
-
-
-# -- the arithmetic of form scripts -------------------------------------------
-
-_QUOTED = r"""(["'])((?:(?!\1).)*)\1"""
-_FIELD = rf"this\s*\.\s*getField\(\s*{_QUOTED}\s*\)\s*\.\s*"
-#: Fixed shapes of the statements that are understood; a script with any other does nothing.
-_RESET = re.compile(r"this\s*\.\s*resetForm\(\s*\)")
-_ALERT = re.compile(rf"app\s*\.\s*alert\(\s*{_QUOTED}\s*(?:,[^)]*)?\)")
-_ALERT_NAMED = re.compile(rf"app\s*\.\s*alert\(\s*\{{[^{{}}]*\bcMsg\s*:\s*{_QUOTED}[^{{}}]*\}}\s*\)")
-_SHOW = re.compile(rf"{_FIELD}display\s*=\s*display\s*\.\s*(hidden|visible)")
-_SET = re.compile(rf"{_FIELD}value\s*=\s*(.+)", re.DOTALL)
-_VALUE = re.compile(rf"{_FIELD}value")
-_CALL = re.compile(r"\b(?:Number|parseFloat|parseInt)\(([^()]*)\)")
-_NUMBER = re.compile(r"[0-9.]+")
-_LEADING = re.compile(r"\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)")
-
-
-def _shown(x: float) -> str:
-    return str(int(x)) if x == int(x) and abs(x) < 1e21 else repr(x)
-
-
-def evaluate(expression: str, values: dict[str, str]) -> float | None:
-    """A sum of products of numbers, field values and brackets; None for anything else."""
-
-    def field(m: re.Match) -> str:
-        found = _LEADING.match(values.get(m[2]) or "")
-        return _shown(float(found[1])) if found and math.isfinite(float(found[1])) else "0"
-
-    bare = _CALL.sub(r"(\1)", _VALUE.sub(field, expression))
-    if not re.fullmatch(r"[0-9\s+\-*/().]+", bare):
-        return None
-    text = re.sub(r"\s+", "", bare)
-    at = 0
-
-    def level(operators: str) -> float:
-        nonlocal at
-        below = factor if operators == "*/" else lambda: level("*/")
-        total = below()
-        while text[at : at + 1] and text[at] in operators:
-            sign, at = text[at], at + 1
-            other = below()
-            total = total + other if sign == "+" else total - other if sign == "-" else total * other if sign == "*" else total / other
-        return total
-
-    def factor() -> float:
-        nonlocal at
-        sign = text[at : at + 1]
-        if sign and sign in "+-":
-            at += 1
-            return -factor() if sign == "-" else factor()
-        if sign == "(":
-            at += 1
-            inner = level("+-")
-            if text[at : at + 1] != ")":
-                raise ValueError("a bracket is not closed")
-            at += 1
-            return inner
-        number = _NUMBER.match(text, at)
-        if not number:
-            raise ValueError("a number is missing")
-        at = number.end()
-        return float(re.match(r"[0-9]*\.?[0-9]*", number[0])[0])
-
-    try:
-        total = level("+-")
-    except (ValueError, ZeroDivisionError, RecursionError):
-        return None
-    return total if at == len(text) and math.isfinite(total) else None
-
-
-def run_script(script: str | None, values: dict[str, str]) -> dict:
-    """What a form's script does: all of it or, if any statement is not understood, nothing."""
-    nothing = {"ok": False, "sets": [], "display": [], "reset": False, "alerts": []}
-    statements = [s.strip() for s in (script or "").split(";") if s.strip()]
-    out = nothing | {"ok": bool(statements), "sets": [], "display": [], "alerts": []}
-    for s in statements:
-        if _RESET.fullmatch(s):
-            out["reset"] = True
-        elif m := _ALERT.fullmatch(s) or _ALERT_NAMED.fullmatch(s):
-            out["alerts"].append(m[2])
-        elif m := _SHOW.fullmatch(s):
-            out["display"].append({"name": m[2], "hidden": m[3] == "hidden"})
-        elif m := _SET.fullmatch(s):
-            value = evaluate(m[3], values)
-            if value is None:
-                return nothing
-            out["sets"].append({"name": m[2], "value": _shown(value)})
-        else:
-            return nothing
-    return out
-
-
-def scripted(script: Column, values: Column) -> Column:
-    """The same for columns: a script and a map of field values."""
-
-    @F.pandas_udf("struct<ok: boolean, sets: array<struct<name: string, value: string>>, display: array<struct<name: string, hidden: boolean>>, reset: boolean, alerts: array<string>>")
-    def run(s: pd.Series, v: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([run_script(x, dict(y or {})) for x, y in zip(s, v, strict=True)], columns=["ok", "sets", "display", "reset", "alerts"])
-
-    return run(script, values)

@@ -10,6 +10,7 @@ from leafloom.functions import records as R
 from leafloom.functions import text as T
 from leafloom.operators import pages, safety, validate
 from leafloom.operators import records as O
+from leafloom.operators.formscripts import scripted
 from leafloom.session import table
 from leafloom.streaming import messages
 
@@ -142,7 +143,7 @@ def form_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", F.create_map(F.lit("a"), F.col("p_size").cast("string"), F.lit("b"), F.lit("3")).alias("fields"))
     scripts = F.array(*[F.struct(F.lit(s).alias("script"), F.lit(n).alias("name")) for s, n in _SCRIPTS])
     rows = parts.select("p_partkey", "fields", F.explode(scripts).alias("s"))
-    out = rows.withColumn("r", O.scripted(F.col("s.script"), F.col("fields")))
+    out = rows.withColumn("r", scripted(F.col("s.script"), F.col("fields")))
     return out.select("p_partkey", "s.name", "r.ok", F.try_element_at("r.sets", F.lit(1)).getField("value").alias("value"), "r.reset", F.array_join("r.alerts", ",").alias("alerts"), F.size("r.display").alias("n_display"))
 
 
@@ -198,6 +199,10 @@ UNION ALL SELECT 'EVT001', 'Error', 'event ' || event_id, 'the properties are no
 _CHUNKED = "c AS (SELECT conv_id || '-' || turn AS id, text, ceil(length(base64(encode(text))) / 400.0)::BIGINT AS n FROM conversations)"
 
 ORACLES = {
+    "form_scripts": """SELECT p_partkey, name, name <> 'unknown' AS ok,
+    CASE name WHEN 'total' THEN (p_size + 3)::VARCHAR WHEN 'twice' THEN (p_size * 2)::VARCHAR WHEN 'plain' THEN '3.75' END AS value,
+    name = 'hide' AS reset, CASE name WHEN 'twice' THEN 'done' WHEN 'alert' THEN 'hi' ELSE '' END AS alerts, CASE name WHEN 'hide' THEN 1 ELSE 0 END::INTEGER AS n_display
+    FROM part, unnest(['total', 'twice', 'hide', 'unknown', 'plain', 'alert']) AS u(name)""",
     "findings": f"""WITH {_FOUND} SELECT * FROM f QUALIFY code NOT IN ('DOC004', 'PAG003') OR row_number() OVER (PARTITION BY code ORDER BY location) <= 10""",
     "finding_census": f"WITH {_FOUND} SELECT severity, code, count(*) AS n FROM f GROUP BY ALL",
     "finding_report": f"WITH {_FOUND} SELECT count(*) FILTER (severity = 'Error') AS errors, count(*) FILTER (severity = 'Warning') AS warnings, count(*) FILTER (severity = 'Error') = 0 AS is_valid FROM f",

@@ -120,7 +120,8 @@ _RULES = (
 )
 _LEVEL = "CASE " + " ".join(f"WHEN {c} THEN '{lv}'" for c, lv, _ in _RULES) + " ELSE 'yellow' END"
 _CATEGORY = "CASE " + " ".join(f"WHEN {c} THEN '{cat}'" for c, _, cat in _RULES) + " ELSE 'unknown' END"
-_PRIVATE = "(" + " OR ".join(f"regexp_matches(host, '{p}')" for p in urls.PRIVATE_HOSTS) + ")"
+_PRIVATE = """(host IN ('', 'localhost', '0.0.0.0', '::1', '[::1]') OR host LIKE '10.%' OR host LIKE '127.%' OR host LIKE '169.254.%' OR host LIKE '192.168.%'
+    OR host LIKE '172.%.%' AND TRY_CAST(split_part(host, '.', 2) AS INTEGER) BETWEEN 16 AND 31 OR host SIMILAR TO '\\[?f[cd][0-9a-f]{2}:.*')"""
 _H = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"'']([^\"'']*)[\"'']"
 _S = r"(?is)<script\b[^>]*>(.*?)</script\s*>"
 _ON = r"(?i)\son[a-z]+\s*=\s*(\"[^\"]*\"|''[^'']*'')"

@@ -240,6 +240,8 @@ class Glyph:
     font: str
     size: float
     mode: int
+    #: places of the operations that draw it: on the page and, if that draws a form, there and so on
+    path: tuple[int, ...] = ()
 
 
 @dataclass
@@ -268,7 +270,7 @@ class Interpreter:
 
     def page(self, page: Page) -> Drawn:
         self.out = Drawn()
-        self._run(page.content, page.resources, State(), 0, set())
+        self._run(page.content, page.resources, State(), (), set())
         return self.out
 
     def _font(self, resources: dict, name: str) -> Font | None:
@@ -279,7 +281,7 @@ class Interpreter:
             self.fonts[id(d)] = Font(self.doc, d, self.metrics)
         return self.fonts[id(d)]
 
-    def _run(self, data: bytes, resources: dict, s: State, depth: int, drawing: set) -> None:
+    def _run(self, data: bytes, resources: dict, s: State, above: tuple[int, ...], drawing: set) -> None:
         stack: list[State] = []
         tm = line = UNIT
         number = lambda v, i, other=0.0: float(v[i]) if len(v) > i and isinstance(v[i], int | float) and not isinstance(v[i], bool) else other
@@ -323,43 +325,43 @@ class Interpreter:
                     tm = line = times((1, 0, 0, 1, 0, -s.leading), line)
                 for part in v[-1] if op == "TJ" and v and isinstance(v[-1], list) else v[-1:]:
                     if isinstance(part, bytes):
-                        tm = self._show(part, tm, s, index, depth)
+                        tm = self._show(part, tm, s, (*above, index))
                     elif isinstance(part, int | float):
                         tm = times((1, 0, 0, 1, -part / 1000 * s.size * s.scale, 0), tm)
             elif op == "BI":
-                self._image(s, v[0], None, index, depth)
+                self._image(s, v[0], None, (*above, index))
             elif op == "Do" and v:
                 ref = self.doc.dict_of(resources, "XObject").get(v[-1]) if isinstance(v[-1], str) else None
                 x = self.doc.resolve(ref)
                 if isinstance(x, Stream):
                     if x.dict.get("Subtype") == "Image":
-                        self._image(s, x.dict, v[-1], index, depth)
-                    elif x.dict.get("Subtype") == "Form" and depth < FORM_DEPTH and id(x) not in drawing:
+                        self._image(s, x.dict, v[-1], (*above, index))
+                    elif x.dict.get("Subtype") == "Form" and len(above) < FORM_DEPTH and id(x) not in drawing:
                         m = self.doc.list_of(x.dict, "Matrix")
                         inner = replace(s, ctm=times(tuple(float(k) for k in m), s.ctm) if len(m) == 6 else s.ctm)
                         own = self.doc.dict_of(x.dict, "Resources") or resources
-                        self._run(self.doc.decoded(x), own, inner, depth + 1, drawing | {id(x)})
+                        self._run(self.doc.decoded(x), own, inner, (*above, index), drawing | {id(x)})
 
-    def _image(self, s: State, d: dict, name: str | None, index: int, depth: int) -> None:
+    def _image(self, s: State, d: dict, name: str | None, path: tuple[int, ...]) -> None:
         x, y, w, h = box_of(s.ctm, 0, 0, 1, 1)
         get = lambda long, short: self.doc.resolve(d.get(long, d.get(short)))
-        self.out.images.append({"op": index if depth == 0 else -1, "ctm": s.ctm, "name": name, "x": x, "y": y, "width": w, "height": h, "pixels_wide": get("Width", "W"), "pixels_high": get("Height", "H")})
+        self.out.images.append({"op": path[0] if len(path) == 1 else -1, "path": path, "ctm": s.ctm, "name": name, "x": x, "y": y, "width": w, "height": h, "pixels_wide": get("Width", "W"), "pixels_high": get("Height", "H")})
 
-    def _show(self, raw: bytes, tm: Matrix, s: State, index: int, depth: int) -> Matrix:
+    def _show(self, raw: bytes, tm: Matrix, s: State, path: tuple[int, ...]) -> Matrix:
         if s.font is None:
             return tm
         a, b, c, d, e, f = times(tm, s.ctm)
         ux, uy, vx, vy = s.size * s.scale * a, s.size * s.scale * b, s.size * c, s.size * d  # one em along and up
         em = abs(s.size) * abs(ux * vy - uy * vx) ** 0.5 / abs(s.size) if s.size else 0.0
         low_x, low_y, high_x, high_y = self.DESCENT * vx, self.DESCENT * vy, self.ASCENT * vx, self.ASCENT * vy
-        op, name, moved, run = index if depth == 0 else -1, s.font.name, 0.0, []
+        op, name, moved, run = path[0] if len(path) == 1 else -1, s.font.name, 0.0, []
         for code, piece in s.font.codes(raw):
             w = s.font.advance(code)
             x, y, wx, wy = e + moved * a + s.rise * c, f + moved * b + s.rise * d, w * ux, w * uy
             left, bottom = x + min(low_x, high_x) + min(0, wx), y + min(low_y, high_y) + min(0, wy)
             shift = (w * s.size + s.char + (s.word if piece == b" " else 0)) * s.scale
             moved += shift
-            run.append(Glyph(op, piece, s.font.text(code), left, bottom, abs(high_x - low_x) + abs(wx), abs(high_y - low_y) + abs(wy), shift, name, em, s.mode))
+            run.append(Glyph(op, piece, s.font.text(code), left, bottom, abs(high_x - low_x) + abs(wx), abs(high_y - low_y) + abs(wy), shift, name, em, s.mode, path))
         if run:
             self.out.glyphs += run
             self.out.runs.append(run)

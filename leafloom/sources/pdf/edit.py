@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 from typing import Any
 
-from leafloom.sources.pdf.content import Glyph, Interpreter, operations, page_text
+from leafloom.functions.text import BOLD_PARTS, FACES, FAMILY_PARTS, ITALIC_PARTS
+from leafloom.sources.pdf.content import Drawn, Glyph, Interpreter, operations, page_text
 from leafloom.sources.pdf.document import Document, Page
 from leafloom.sources.pdf.errors import PdfError
 from leafloom.sources.pdf.lexer import Name, Ref, Stream
@@ -155,47 +157,80 @@ def _glyph_box(g: Glyph) -> Box:
     return g.x, g.y, g.width, g.height
 
 
-def redacted_content(page: Page, boxes: Sequence[Box], metrics: dict | None = None, text_only: bool = False) -> tuple[bytes, dict]:
-    """The page's operations without the glyphs and images in the boxes, and what was removed.
+class _Eraser:
+    """Content without what boxes touch, form by form.
+
+    A form that holds something touched is drawn from a copy of its own without that, under
+    a new name; other drawings of the same form, and other forms, stay as they are.
+    """
+
+    def __init__(self, doc: Document, drawn: Drawn, boxes: Sequence[Box], text_only: bool) -> None:
+        self.doc = doc
+        self.hit = lambda g: any(_touches(b, _glyph_box(g)) for b in boxes)
+        self.glyphs: dict[tuple, list[Glyph]] = {}
+        for g in drawn.glyphs:
+            self.glyphs.setdefault(g.path, []).append(g)
+        self.images = {im["path"] for im in drawn.images if not text_only and any(_touches(b, _image_box(im)) for b in boxes)}
+        touched = self.images | {path for path, held in self.glyphs.items() if any(map(self.hit, held))}
+        #: operations that draw a form with something touched in it
+        self.above = {path[:k] for path in touched for k in range(1, len(path))}
+        self.removed: dict = {"glyphs": 0, "images": len(self.images), "forms": len(self.above), "text": []}
+
+    def content(self, data: bytes, resources: dict, above: tuple[int, ...] = (), size: float = 1.0, scale: float = 1.0) -> tuple[bytes, dict]:
+        """The operations that stay, and the resources that they need."""
+        out, xobjects, used = bytearray(), self.doc.dict_of(resources, "XObject"), {}
+        for i, (op, v, raw) in enumerate(operations(data)):
+            path = (*above, i)
+            if op == "Tf" and len(v) >= 2 and isinstance(v[-1], int | float):
+                size = float(v[-1])
+            elif op == "Tz" and v:
+                scale = float(v[0]) / 100
+            if path in self.images:
+                continue
+            if op == "Do" and v and v[-1] in xobjects:
+                name, drawn = v[-1], xobjects[v[-1]]
+                if path in self.above:
+                    name, drawn = Name(f"{name}_{'_'.join(map(str, path))}"), self.form(self.doc.resolve(drawn), resources, path, size, scale)
+                used[name] = drawn
+                out += operation(op, [name])
+                continue
+            glyphs = self.glyphs.get(path, [])
+            if op in ("Tj", "TJ", "'", '"') and any(map(self.hit, glyphs)):
+                if op in ("'", '"'):
+                    if op == '"' and len(v) >= 3:
+                        out += operation("Tw", [v[0]]) + operation("Tc", [v[1]])
+                    out += operation("T*", [])
+                out += operation("TJ", [_kept(v[-1] if op == "TJ" and v else v[-1:], glyphs, self.hit, size * scale, self.removed)])
+                continue
+            out += operation(op, v, raw)
+        return bytes(out), {k: used if k == "XObject" else v for k, v in resources.items()}
+
+    def form(self, x: Stream, resources: dict, path: tuple[int, ...], size: float, scale: float) -> Stream:
+        content, own = self.content(self.doc.decoded(x), self.doc.dict_of(x.dict, "Resources") or resources, path, size, scale)
+        entries = {k: v for k, v in x.dict.items() if k not in ("Filter", "DecodeParms", "Length", "Resources")}
+        return Stream({**entries, "Filter": Name("FlateDecode"), "Resources": own}, zlib.compress(content))
+
+
+def _image_box(im: dict) -> Box:
+    return im["x"], im["y"], im["width"], im["height"]
+
+
+def redacted_content(page: Page, boxes: Sequence[Box], metrics: dict | None = None, text_only: bool = False) -> tuple[bytes, dict, dict]:
+    """The page's operations without the glyphs and images in the boxes, what was removed, and the resources.
 
     A glyph that a box touches becomes a displacement of its width, so the line keeps its
     place. Images go if a box touches them: their pixels are not edited, so nothing of a
-    touched image stays. Forms that hold touched text go as a whole.
+    touched image stays. Both hold within forms, at any depth that is drawn.
     """
-    doc = page.doc
-    drawn = Interpreter(doc, metrics).page(page)
-    by_op: dict[int, list[Glyph]] = {}
-    for g in drawn.glyphs:
-        by_op.setdefault(g.op, []).append(g)
-    hit = lambda g: any(_touches(b, _glyph_box(g)) for b in boxes)
-    inner = any(hit(g) for g in by_op.get(-1, []))
-    images = {im["op"] for im in drawn.images if im["op"] >= 0 and not text_only and any(_touches(b, (im["x"], im["y"], im["width"], im["height"])) for b in boxes)}
-    out, removed = bytearray(), {"glyphs": 0, "images": len(images), "forms": 0, "text": []}
-    xobjects = doc.dict_of(page.resources, "XObject")
-    size = scale = 1.0
-    for i, (op, v, raw) in enumerate(operations(page.content)):
-        if op == "Tf" and len(v) >= 2 and isinstance(v[-1], int | float):
-            size = float(v[-1])
-        elif op == "Tz" and v:
-            scale = float(v[0]) / 100
-        if i in images:
-            continue
-        if op == "Do" and inner and v:
-            x = doc.resolve(xobjects.get(v[-1]))
-            if isinstance(x, Stream) and x.dict.get("Subtype") == "Form":
-                removed["forms"] += 1
-                continue
-        glyphs = by_op.get(i, [])
-        if op in ("Tj", "TJ", "'", '"') and any(map(hit, glyphs)):
-            if op in ("'", '"'):
-                if op == '"' and len(v) >= 3:
-                    out += operation("Tw", [v[0]]) + operation("Tc", [v[1]])
-                out += operation("T*", [])
-            out += operation("TJ", [_kept(v[-1] if op == "TJ" and v else v[-1:], glyphs, hit, size * scale, removed)])
-            continue
-        out += operation(op, v, raw)
+    drawn = Interpreter(page.doc, metrics).page(page)
+    eraser = _Eraser(page.doc, drawn, boxes, text_only)
+    content, resources = eraser.content(page.content, page.resources)
+    removed = eraser.removed
     removed["text"] = "".join(removed["text"])
-    return bytes(out), removed
+    # a glyph or an image under two regions counts for each of them
+    touched = [([g for g in drawn.glyphs if _touches(b, _glyph_box(g))], [im for im in drawn.images if not text_only and _touches(b, _image_box(im))]) for b in boxes]
+    removed["by_region"] = [{"box": list(b), "glyphs": len(gs), "images": len(ims), "text": "".join(g.text for g in gs)} for b, (gs, ims) in zip(boxes, touched, strict=True)]
+    return content, removed, resources
 
 
 def _kept(parts: list, glyphs: list[Glyph], hit: Any, unit: float, removed: dict) -> list:
@@ -233,12 +268,10 @@ def redact(doc: Document, regions: Sequence[tuple[int, Box]], metrics: dict | No
         boxes = [b for n, b in regions if n == page.number]
         if not boxes:
             continue
-        content, removed = redacted_content(page, boxes, metrics)
+        content, removed, resources = redacted_content(page, boxes, metrics)
         stay = [a for a in doc.list_of(page.dict, "Annots") if not (isinstance(d := doc.resolve(a), dict) and (r := rect(doc, d)) and any(_touches(b, r, 0) for b in boxes))]
         removed["annotations"] = len(doc.list_of(page.dict, "Annots")) - len(stay)
         paint = operation("q", []) + operation("g", [0]) + b"".join(operation("re", list(b)) for b in boxes) + operation("f", []) + operation("Q", [])
-        used = {v[-1] for op, v, _ in operations(content) if op == "Do" and v and isinstance(v[-1], str)}
-        resources = {k: {n: x for n, x in doc.dict_of(page.resources, k).items() if n in used} if k == "XObject" else v for k, v in page.resources.items()}
         changes[i] = {"Contents": b"q\n" + content + b"\nQ\n" + paint, "Annots": stay or None, "Resources": resources}
         report.append({"page": page.number, "regions": len(boxes), **removed})
     return assembled(pages, changes, keep=doc), report
@@ -416,13 +449,11 @@ def region_text(glyphs: list[Glyph], box: Box) -> dict:
         fonts.setdefault(g.font, []).append(g.size)
     font = max(fonts, key=lambda f: len(fonts[f]), default="")
     low = font.lower()
-    family = "times" if any(p in low for p in ("times", "serif", "georgia", "roman", "minion")) else "courier" if any(p in low for p in ("courier", "mono", "consol")) else "helvetica"
-    return {"text": "\n".join(rows), "size": round(max(fonts[font]), 2) if font else 12.0, "family": family, "bold": any(p in low for p in ("bold", "black", "heavy")), "italic": any(p in low for p in ("italic", "oblique")), "source_font": font[7:] if len(font) > 7 and font[6] == "+" else font, "left": min((g.x for g in found), default=None), "bottom": max((g.y for g in found), default=None), "invisible": bool(found) and all(g.mode == 3 for g in found)}
+    family = next((f for f, parts in FAMILY_PARTS.items() if any(p in low for p in parts)), "helvetica")
+    return {"text": "\n".join(rows), "size": round(max(fonts[font]), 2) if font else 12.0, "family": family, "bold": any(p in low for p in BOLD_PARTS), "italic": any(p in low for p in ITALIC_PARTS), "source_font": font[7:] if len(font) > 7 and font[6] == "+" else font, "left": min((g.x for g in found), default=None), "bottom": max((g.y for g in found), default=None), "invisible": bool(found) and all(g.mode == 3 for g in found)}
 
 
 def face(info: dict) -> str:
-    from leafloom.functions.text import FACES
-
     return FACES[info["family"]][info["bold"] + 2 * info["italic"]]
 
 
@@ -467,8 +498,8 @@ def _rewritten(doc: Document, jobs: Sequence[tuple[int, Box, str, float, float,
         if not own:
             continue
         # text that is not seen lies over an image that shows it, so the image goes as well
-        content, _ = redacted_content(page, [j[1] for j in own], text_only=not any(j[5]["invisible"] for j in own))
-        resources, draw = dict(page.resources), b""
+        content, _, resources = redacted_content(page, [j[1] for j in own], text_only=not any(j[5]["invisible"] for j in own))
+        draw = b""
         for _, _, text, dx, dy, was in own:
             holder = Page(doc, page.number, page.ref, {**page.dict, "Resources": resources}, page.above)
             resources, name = _with_font(holder, face(was))

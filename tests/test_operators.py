@@ -9,6 +9,7 @@ from leafloom.functions import geometry, text, urls
 from leafloom.functions import records as R
 from leafloom.operators import diff, layout, links, pages, safety, search, spatial, validate
 from leafloom.operators import records as O
+from leafloom.operators.formscripts import run_script
 from leafloom.streaming import messages
 
 
@@ -223,16 +224,33 @@ def test_upsert_and_delete(spark):
 
 @pytest.mark.parametrize("script,values,want", [("this.getField('t').value = this.getField('a').value + this.getField('b').value", {"a": "2", "b": "3"}, "5"), ("this.getField('t').value = Number(this.getField('a').value)*2+this.getField('b').value", {"a": "4", "b": "1"}, "9"), ("this.getField('t').value = this.getField('none').value + 1", {}, "1"), ("this.getField('t').value = 1 / 0", {}, None), ("this.getField('t').value = 2 - -(3 + 1) * .5", {}, "4"), ("this.getField('t').value = __import__", {}, None)])
 def test_form_script_arithmetic(script, values, want):
-    got = O.run_script(script, values)
+    got = run_script(script, values)
     assert got["ok"] == (want is not None) and [s["value"] for s in got["sets"]] == ([want] if want else [])
 
 
 def test_form_script_is_all_or_nothing():
-    assert not O.run_script("this.resetForm(); steal()", {})["ok"] and not O.run_script("", {})["ok"] and not O.run_script(None, {})["ok"]
-    got = O.run_script("this.resetForm(); app.alert({cMsg: 'm', cTitle: 't'}); this.getField('x').display = display.visible", {})
+    assert not run_script("this.resetForm(); steal()", {})["ok"] and not run_script("", {})["ok"] and not run_script(None, {})["ok"]
+    got = run_script("this.resetForm(); app.alert({cMsg: 'm', cTitle: 't'}); this.getField('x').display = display.visible", {})
     assert got["reset"] and got["alerts"] == ["m"] and got["display"] == [{"name": "x", "hidden": False}]
 
 
+@pytest.mark.parametrize("script,values,want", [("this . getField ( 't' ) . value = parseFloat(this.getField('a').value) / 4", {"a": " 3.5e1 pieces"}, "8.75"), ("this.getField('t').value = 1.2.3 + 2", {}, "3.2"), ("this.getField('t').value = Number((1))", {}, None), ("this.getField('t').value = (1 + 2", {}, None), ("this.getField('t').value = 1 +", {}, None), ("this.getField('t').value = -(-(2)) * +3", {}, "6"), ("this.getField('t').value = 'x'", {}, None), ("this.getField('t;u').value = 1", {}, None), ("this.getField('t').value = " + "(" * 5000, {}, None)])
+def test_form_script_grammar(script, values, want):
+    assert [s["value"] for s in run_script(script, values)["sets"]] == ([want] if want else [])
+
+
+def test_form_script_statements():
+    assert run_script("app.alert('a', 1, \"x\");; app.alert(\"it's\")", {})["alerts"] == ["a", "it's"]
+    assert not run_script("app.alert('a', f(1))", {})["ok"] and not run_script("app.alert({cMsg: {}})", {})["ok"] and not run_script("this.getField('x').display = display.other", {})["ok"]
+    assert run_script("app.alert({ cTitle: 'T', cMsg : \"hi\", nIcon: 3 })", {})["alerts"] == ["hi"]
+
+
+def test_private_hosts(spark):
+    hosts = ["localhost", "0.0.0.0", "::1", "[::1]", "", None, "127.0.0.1", "10.1.2.3", "172.16.0.1", "172.31.255.1", "192.168.1.1", "169.254.9.9", "[fd00::1]", "fc12:3::", "172.15.0.1", "172.32.0.1", "192.169.1.1", "11.0.0.1", "example.org", "[fe80::1]", "1270.0.0.1", "face.org"]
+    rows = spark.createDataFrame([(i, h) for i, h in enumerate(hosts)], "i int, h string")
+    assert [r.p for r in rows.orderBy("i").select(urls.is_private(F.col("h")).alias("p")).collect()] == [True] * 14 + [False] * 8
+
+
 def test_versions_paths_and_pairs(spark):
     got = one(spark, R.version_state(F.lit("2.0.0.0"), F.lit("2.0.0")), R.version_state(F.lit("1.9"), F.lit("2.0")), R.version_state(F.lit("x"), F.lit("2.0")), R.relative_path(F.lit("k:a/b"), F.lit("k")), R.relative_path(F.lit("o:br:c"), F.lit("k")), R.relative_path(F.lit("plain"), F.lit("k")), R.key_values(F.lit("a=b=c")), R.key_values(F.lit("none")), R.platform_of(F.lit("X11; CrOS")), R.issue_level(F.array().cast("array<string>"), F.lit("critical")))
     assert [got[i] for i in range(6)] == ["ok", "host-older", "unknown", "a/b", "c", "plain"]

@@ -312,6 +312,34 @@ def test_redaction_drops_touched_images():
     assert report[0]["images"] == 1 and [m["name"] for m in Interpreter(doc).page(doc.pages()[0]).images] == ["Im2"]
 
 
+def nested_forms(out):
+    """A form drawn twice, with text, an image and an inner form; a second form with text."""
+    image = out.stream(b"\0" * 4, Type=Name("XObject"), Subtype=Name("Image"), Width=2, Height=2, BitsPerComponent=8, ColorSpace=Name("DeviceGray"))
+    font = out.add({"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Courier"), "Encoding": Name("WinAnsiEncoding")})
+    form = lambda body, **res: out.stream(body, Type=Name("XObject"), Subtype=Name("Form"), BBox=[0, 0, 300, 100], Resources={"Font": {"F": font}, **res})
+    inner = form(b"BT /F 10 Tf 0 5 Td (deep HIDDEN end) Tj ET")
+    outer = form(b"BT /F 10 Tf 0 50 Td (keep SECRET tail) Tj ET q 20 0 0 20 200 40 cm /Im Do Q q 1 0 0 1 0 0 cm /In Do Q", XObject={"Im": image, "In": inner})
+    other = form(b"BT /F 10 Tf 0 5 Td (KEEP ME) Tj ET")
+    return {"Contents": out.stream(b"q 1 0 0 1 100 600 cm /Fm Do Q q 1 0 0 1 100 300 cm /Fm Do Q q 1 0 0 1 100 100 cm /Fo Do Q"), "Resources": {"XObject": {"Fm": outer, "Fo": other}}}
+
+
+def test_redaction_within_forms():
+    data = positioned([[]], {1: nested_forms})
+    words = lambda d: [page_text([g for g in Interpreter(d).page(d.pages()[0]).glyphs if lo < g.y < lo + 100]).split() for lo in (590, 290, 90)]
+    assert words(Document(data)) == [["keep", "SECRET", "tail", "deep", "HIDDEN", "end"]] * 2 + [["KEEP", "ME"]]
+    # text and an image of one drawing of the form, and text of the form in it
+    out, report = edit.redact(Document(data), [(1, (130.5, 645, 35, 20)), (1, (305, 645, 5, 5)), (1, (131, 602, 34, 8))])
+    doc = Document(out)
+    assert words(doc) == [["keep", "tail", "deep", "end"], ["keep", "SECRET", "tail", "deep", "HIDDEN", "end"], ["KEEP", "ME"]]
+    assert len(Interpreter(doc).page(doc.pages()[0]).images) == 1 and validate.findings(out) == []
+    (row,) = report
+    assert (row["glyphs"], row["images"], row["forms"], sorted(row["text"])) == (12, 1, 2, sorted("SECRETHIDDEN"))
+    assert [(r["glyphs"], r["images"], r["text"]) for r in row["by_region"]] == [(6, 0, "SECRET"), (0, 1, ""), (6, 0, "HIDDEN")]
+    # with both drawings redacted nothing of it stays in the file
+    both, _ = edit.redact(Document(data), [(1, (130.5, y, 35, 20)) for y in (645, 345)])
+    assert not any(b"SECRET" in Document(both).decoded(s) for _, s in scan.streams(Document(both)))
+
+
 def test_strip_and_sanitize():
     doc = Document(hidden())
     stripped = scan.safety(Document(edit.strip_active(doc)))
