@@ -288,10 +288,13 @@ def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = space.written(write_shards(docs, space.at("shards")), "manifest")
     if shards.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    # one row a shard, so few that a running sum over all of them is small
-    starts = shards.select("shard", (F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))).alias("shard_start"))
+    # running sums in two steps: over the shards of each task, and over tasks, of which there are as many as partitions
+    part, before = F.substring("shard", 7, 9), lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    within = shards.withColumn("part", part).withColumn("own", F.sum("n_ids").over(before(Window.partitionBy("part").orderBy("shard"))))
+    tasks = within.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.sum("n").over(before(Window.orderBy("part"))).alias("earlier"))
+    starts = within.join(tasks, "part").select("shard", (F.coalesce("own", F.lit(0)) + F.coalesce("earlier", F.lit(0))).alias("shard_start"))
     rows = shard_checksums(spark, space.at("shards"))
-    return rows.join(starts, "shard").select("doc_id", (F.coalesce("shard_start", F.lit(0)) + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(starts, "shard").select("doc_id", (F.col("shard_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 QUERIES = {"op9_sstable": op9_sstable}
