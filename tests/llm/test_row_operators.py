@@ -1,19 +1,23 @@
 """Personal data, secrets and quality rules against plain versions of their contracts."""
 
+import base64
 import hashlib
 import os
 import random
 import re
 import string
+import time
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from leafloom.llm import pii, quality, secrets
+from leafloom.llm import minhash, pii, quality, secrets, textops, tokens
 
 SF = "/root/testdata/sf0.001"
 
@@ -167,3 +171,55 @@ def test_quality_rejects_short_random_texts(n):
         for size in (8, 40):
             data = " ".join("".join(rng.choices(letters, k=size)) for _ in range(n // size + 1))[:n].encode()
             assert quality.verdict(data, quality.DEFAULT, press)[3] == "incompressible"
+
+
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s
+
+
+_WORD = thue_morse(2048)
+_OTHER = _WORD.translate(str.maketrans("ab", "ba"))
+_NESTED = base64.urlsafe_b64encode(b'{"alg":' + b"[" * 100_000 + b"]" * 100_000 + b"}").decode().rstrip("=")
+#: Texts that once crashed, stalled or deceived an operator.
+HOSTILE = ["eyJ" * 400_000, "eyJ" * 400_000 + ".eyJa.b", _NESTED + ".eyJabc.def", " " * 2_000_000, "\n" * 2_000_000 + "x", f"{_WORD} {_OTHER}", f"{_WORD}\n{_OTHER}\n{_WORD}", "1" * 200_000, "a@" * 200_000, "+1 " * 200_000, "token = " * 50_000, "iban " * 50_000]
+
+
+@pytest.mark.parametrize("text", HOSTILE, ids=range(len(HOSTILE)))
+def test_hostile_texts(text):
+    began = time.perf_counter()
+    pii.scan(text, pii._automaton())
+    found = secrets.scan(text, secrets._automata())
+    assert not any(s[2] == "jwt" for s in found)
+    offsets, raw = textops.strings(pa.array([text]))
+    assert quality.measures(offsets, raw)["n_dup_lines"][0] == (text.count("\n") == 2)
+    minhash.shingle_sets(offsets, raw, 4)
+    ranks, words = tokens.rank_ids(), tokens.word_ids()
+    assert ranks.decode(ranks.encode(text)) == text.encode()
+    if len(text) < 10_000:
+        whole = words.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(words.pack([text])[0], dtype="<u4").tolist() == whole
+    else:
+        words.pack([text])
+    assert time.perf_counter() - began < 30
+
+
+def test_words_that_collide_modulo_a_power_of_two_differ():
+    offsets, raw = textops.strings(pa.array([_WORD, _OTHER]))
+    assert len(set(textops.Words(offsets, raw).hashes().tolist())) == 2
+
+
+@pytest.mark.parametrize("text,kind,number", [("IBAN: DE89 3704 0044 0532 0130 00 AND", "iban", "DE89 3704 0044 0532 0130 00"), ("My IBAN is DE89370400440532013000.", "iban", "DE89370400440532013000"), ("account number is 12345678 then", "account", "12345678"), ("iban GB82 WEST 1234 5698 7654 32", "iban", "GB82 WEST 1234 5698 7654 32")])
+def test_numbers_after_cues(text, kind, number):
+    assert [text[s:e] for s, e, k in pii.scan(text, pii._automaton()) if k == kind] == [number]
+
+
+def test_the_end_of_a_long_text_is_judged():
+    rng = random.Random(1)
+    clean = " ".join("".join(rng.choices(string.ascii_lowercase[:9], k=rng.randrange(2, 8))) for _ in range(900))[:4097]
+    press = zstandard.ZstdCompressor(level=3)
+    plain = quality.verdict(clean.encode(), quality.DEFAULT, press)
+    # the second chunk is the last 4096 bytes
+    assert len(clean) == 4097 and plain[1] <= plain[2] and quality.verdict((clean[:4096] + " " * 4000).encode(), quality.DEFAULT, press)[1] < 0.1
