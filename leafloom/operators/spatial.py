@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from leafloom.functions.geometry import Rect, full_line, quantized
 
 KEYS = ("doc_id", "page")
+#: Height of the bands that boxes are joined by, and the number of the last.
+BAND, LAST_BAND = 36.0, 63
 
 
 def _boxes(regions: DataFrame, *extra: str) -> DataFrame:
@@ -23,12 +25,25 @@ def numbered(regions: DataFrame) -> DataFrame:
     return regions.withColumn("region_no", F.row_number().over(order) - 1)
 
 
+def _banded(boxes: DataFrame, prefix: str, name: str) -> DataFrame:
+    """A row for each band of its page that a box reaches, and the first of them; far bands count as the last."""
+    band = lambda y: F.coalesce(F.least(F.greatest(F.floor(y / BAND), F.lit(0)), F.lit(LAST_BAND)), F.lit(0))
+    first, top = band(F.col(f"{prefix}y")), band(F.col(f"{prefix}y") + F.col(f"{prefix}height"))
+    return boxes.withColumn(f"{name}_first", first).withColumn(f"{name}_band", F.explode(F.sequence(first, F.greatest(first, top))))
+
+
 def overlaps(regions: DataFrame, tok: DataFrame, how: str = "inner") -> DataFrame:
-    """Regions joined to the tokens they strictly overlap: equal page first, then the boxes."""
-    r = _boxes(regions, "region_no")
-    t = tok.select(*[F.col(c).alias(f"t_{c}") for c in KEYS], *[c for c in tok.columns if c not in KEYS])
-    same = (F.col("t_doc_id") == F.col("doc_id")) & (F.col("t_page") == F.col("page")) & Rect("r_").overlaps(Rect())
-    return r.join(t, same, how).drop("t_doc_id", "t_page")
+    """Regions joined to the tokens they strictly overlap: equal page and band first, then the boxes.
+
+    Boxes meet in each band they share and count in the first of these. With ``left``, a region also has an
+    empty row for each band where it overlaps none. Regions are hashed by partition and tokens stream past
+    unsorted; neither side is broadcast, as estimates know nothing of the size of what is laid out.
+    """
+    r = _banded(_boxes(regions, "region_no"), "r_", "r").hint("shuffle_hash")
+    t = _banded(tok.select(*[F.col(c).alias(f"t_{c}") for c in KEYS], *[c for c in tok.columns if c not in KEYS]), "", "t")
+    same = (F.col("t_doc_id") == F.col("doc_id")) & (F.col("t_page") == F.col("page")) & (F.col("t_band") == F.col("r_band"))
+    counts = F.col("r_band") == F.greatest("r_first", "t_first")
+    return r.join(t, same & counts & Rect("r_").overlaps(Rect()), how).drop("t_doc_id", "t_page", "r_first", "r_band", "t_first", "t_band")
 
 
 def hit_tokens(regions: DataFrame, tok: DataFrame) -> DataFrame:
@@ -47,10 +62,9 @@ def missed_tokens(regions: DataFrame, tok: DataFrame) -> DataFrame:
 
 def audit_regions(regions: DataFrame, tok: DataFrame) -> DataFrame:
     """A row for every region: tokens overlapped, tokens whose centre lies within, and their text in reading order."""
-    joined = overlaps(regions, tok, "left")
     inside = Rect("r_").holds(*Rect().centre())
     texts = F.array_sort(F.collect_list(F.when(inside, F.struct((-F.col("y")).alias("down"), "x", "text"))))
-    return joined.groupBy("doc_id", "page", "region_no").agg(
+    return overlaps(regions, tok, "left").groupBy("doc_id", "page", "region_no").agg(
         F.count("text").alias("text_runs"),
         F.count_if(inside).alias("centre_hits"),
         F.array_join(F.transform(texts, lambda t: t.text), " ").alias("region_text"),

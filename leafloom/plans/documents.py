@@ -64,14 +64,15 @@ def replace_all_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's text in reading order."""
-    return layout.reading_text(_tok(spark, sf_dir)).select("doc_id", "page", "n_tokens", F.sha2("page_text", 256).alias("text_sha256"))
+    own = layout.marks(spread(_docs(spark, sf_dir).select("doc_id", "text")))
+    return layout.page_texts(own).select("doc_id", "page", "n_tokens", F.sha2("page_text", 256).alias("text_sha256"))
 
 
 def page_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of every document: number, box, rotation, and the tokens on it."""
-    own = layout.pages(_docs(spark, sf_dir).select("doc_id", "text"))
-    n = _tok(spark, sf_dir).groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n_tokens"))
-    return own.join(n, ["doc_id", "page"], "left").na.fill(0, ["n_tokens"]).withColumn("rotation", F.lit(0))
+    own = layout.marks(spread(_docs(spark, sf_dir).select("doc_id", "text")))
+    box = {"x": F.lit(0.0), "y": F.lit(0.0), "width": F.lit(layout.PAGE_WIDTH), "height": F.lit(layout.PAGE_HEIGHT)}
+    return own.select("doc_id", "page", F.size("marks").cast("long").alias("n_tokens")).withColumns(box).withColumn("rotation", F.lit(0))
 
 
 def rotation_map(spark: SparkSession, sf_dir: str) -> DataFrame:

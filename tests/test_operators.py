@@ -1,5 +1,7 @@
 """Literal cases of the operators: boundaries, ties, orders that generated tables do not reach."""
 
+import random
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -55,6 +57,29 @@ def test_layout_of_long_lines_and_blanks(spark):
     assert {(p.doc_id, p.page) for p in layout.pages(df).collect()} == {(1, 1), (3, 1)}
 
 
+def test_page_text_within_the_row_equals_that_of_tokens(spark, monkeypatch):
+    monkeypatch.setattr(layout, "BATCH_BYTES", 64)
+    texts = ["\n".join(f"l{k}  é{k} 𝄞" for k in range(120)), "", None, "  \n \n", "a", "x " * 400]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.page): (r.page_text, r.n_tokens) for r in layout.page_texts(layout.marks(df)).collect()}
+    assert got == {(r.doc_id, r.page): (r.page_text, r.n_tokens) for r in layout.reading_text(layout.tokens(df)).collect()}
+    assert {k: v[1] for k, v in got.items()} == {(0, 1): 150, (0, 2): 150, (0, 3): 60, (4, 1): 1, (5, 1): 400}
+    assert {(r.doc_id, r.page) for r in layout.marks(df).collect()} == {(r.doc_id, r.page) for r in layout.pages(df).collect()}
+
+
+def test_bands_keep_each_pair_once(spark):
+    rng = random.Random(5)
+    box = lambda: (rng.uniform(-50, 600), rng.uniform(-200, 2600), rng.choice((0.0, 5.0, 90.0, 900.0)), rng.choice((0.0, 10.0, 36.0, 300.0, 1e9)))
+    regions, marks = [box() for _ in range(60)], [box() for _ in range(60)]
+    df = spark.createDataFrame([(1, 1, k, *r) for k, r in enumerate(regions)], "doc_id long, page int, region_no int, x double, y double, width double, height double")
+    tok = spark.createDataFrame([(1, 1, str(k), *t) for k, t in enumerate(marks)] + [(1, 2, "other", *regions[0]), (1, 1, "none", 1.0, None, 1.0, 1.0)], "doc_id long, page int, text string, x double, y double, width double, height double")
+    meet = lambda a, b: a[0] < b[0] + b[2] and b[0] < a[0] + a[2] and a[1] < b[1] + b[3] and b[1] < a[1] + a[3]
+    want = sorted((i, str(j)) for i, r in enumerate(regions) for j, t in enumerate(marks) if meet(r, t))
+    assert sorted((r.region_no, r.text) for r in spatial.overlaps(df, tok).collect()) == want
+    counts = {r.region_no: r.text_runs for r in spatial.audit_regions(df, tok).collect()}
+    assert counts == {i: sum(w[0] == i for w in want) for i in range(60)}
+
+
 def test_edges_do_not_overlap(spark):
     tok = spark.createDataFrame([(1, 1, 0, 0, 0, "a", 10.0, 10.0, 10.0, 10.0)], "doc_id long, page int, line_no int, tok_no int, char_off int, text string, x double, y double, width double, height double")
     regions = [(0.0, 0.0, 10.0, 30.0), (0.0, 1.0, 10.1, 30.0), (15.0, 15.0, 1.0, 1.0), (20.0, 10.0, 5.0, 5.0), (0.0, 20.0, 30.0, 5.0)]
