@@ -50,14 +50,14 @@ def hit_tokens(regions: DataFrame, tok: DataFrame) -> DataFrame:
     """Tokens that any region strictly overlaps, each once."""
     r = _boxes(regions).withColumnsRenamed({k: f"r_{k}" for k in KEYS})
     same = (F.col("r_doc_id") == F.col("doc_id")) & (F.col("r_page") == F.col("page")) & Rect("r_").overlaps(Rect())
-    return tok.join(r, same, "left_semi")
+    return tok.join(r.hint("shuffle_hash"), same, "left_semi")
 
 
 def missed_tokens(regions: DataFrame, tok: DataFrame) -> DataFrame:
     """Tokens that no region overlaps: what stays after redaction."""
     r = _boxes(regions).withColumnsRenamed({k: f"r_{k}" for k in KEYS})
     same = (F.col("r_doc_id") == F.col("doc_id")) & (F.col("r_page") == F.col("page")) & Rect("r_").overlaps(Rect())
-    return tok.join(r, same, "left_anti")
+    return tok.join(r.hint("shuffle_hash"), same, "left_anti")
 
 
 def audit_regions(regions: DataFrame, tok: DataFrame) -> DataFrame:
