@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 #: Above this product of word counts a page is compared as two bags.
 LCS_PRODUCT = 4000 * 4000
+#: What ``functions.text.words`` yields.
+_WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
+#: Texts of a batch that Python holds at a time.
+_ROWS = 200
 
 
 def bag_counts(old: DataFrame, new: DataFrame, keys: tuple[str, ...], word: str = "word") -> DataFrame:
@@ -28,22 +38,28 @@ def bag_diff(old: DataFrame, new: DataFrame, keys: tuple[str, ...], seq: str = "
     first = old.withColumn("first", F.min(seq).over(Window.partitionBy(*keys, word)))
     added = surplus(new, old).groupBy(*keys).agg(gather("added", [seq]))
     # the first copies of a word are matched, so the last ones remain
-    removed = surplus(old, new).join(first.select(*keys, word, "first").distinct(), [*keys, word]).groupBy(*keys).agg(gather("removed", ["first", seq]))
+    removed = surplus(first, new).groupBy(*keys).agg(gather("removed", ["first", seq]))
     empty = F.array().cast("array<string>")
     return added.join(removed, list(keys), "full").select(*keys, F.coalesce("added", empty).alias("added"), F.coalesce("removed", empty).alias("removed"))
 
 
+def surplus_words(a: list[str], b: list[str]) -> tuple[list[str], list[str]]:
+    """(added, removed) as ``bag_diff`` has them: b's words beyond a's copies in order, a's beyond b's by first appearance."""
+    had, has = Counter(a), Counter(b)
+    short = {w: k - had.get(w, 0) for w, k in has.items() if k > had.get(w, 0)}
+    added = []
+    # the last copies of a word are the ones beyond
+    for w in reversed(b) if short else ():
+        if short.get(w, 0):
+            short[w] -= 1
+            added.append(w)
+    return added[::-1], [w for w, k in had.items() for _ in range(k - has.get(w, 0))]
+
+
 def sequence_diff(a: list[str], b: list[str]) -> tuple[list[str], list[str]]:
     """(added, removed) by a longest common subsequence; where both ways are as long, removal comes first."""
     if len(a) * len(b) > LCS_PRODUCT:
-        rest = pd.Series(a).value_counts().to_dict() if a else {}
-        added = []
-        for w in b:
-            if rest.get(w, 0):
-                rest[w] -= 1
-            else:
-                added.append(w)
-        return added, [w for w in dict.fromkeys(a) for _ in range(rest.get(w, 0))]
+        return surplus_words(a, b)
     n, m = len(a), len(b)
     rows = _subsequence_rows(a[::-1], b[::-1])
 
@@ -88,6 +104,32 @@ def lcs_diff(old: Column, new: Column) -> Column:
     return run(old, new)
 
 
+def bag_diff_texts(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("doc_id", "page"), text: str = "page_text") -> DataFrame:
+    """``bag_diff`` of the words of texts: each text moves once and whole, and only keys with a difference have a row.
+
+    Texts of one key are one bag, in any order. Keys that hold a null match nothing, so each side has its own row.
+    """
+    side = lambda df, is_new: df.filter(F.col(text).isNotNull()).select(*keys, F.lit(is_new).alias("_new"), F.col(text).alias("_text"))
+    both = side(old, False).unionAll(side(new, True))
+    apart = F.when(F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False)), F.col("_new")).alias("_apart")
+    texts = lambda is_new: F.array_join(F.collect_list(F.when(F.col("_new") == is_new, F.col("_text"))), "\n")
+    sides = both.groupBy(*keys, apart).agg(texts(False).alias("old"), texts(True).alias("new"))
+
+    fields, kind = [sides.schema[k] for k in keys], pa.list_(pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                found = [(i, *surplus_words(_WORD.findall(x), _WORD.findall(y))) for i, (x, y) in enumerate(zip(part["old"].to_pylist(), part["new"].to_pylist(), strict=True)) if x != y]
+                found = [f for f in found if f[1] or f[2]]
+                own = part.select(list(keys)).take(pa.array([f[0] for f in found], type=pa.int64()))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array([f[1] for f in found], type=kind), pa.array([f[2] for f in found], type=kind)], [*keys, "added", "removed"])
+
+    out = StructType([*fields, *(StructField(c, ArrayType(StringType())) for c in ("added", "removed"))])
+    return sides.select(*keys, "old", "new").mapInArrow(run, out)
+
+
 def compare_pages(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("doc_id", "page"), text: str = "page_text") -> DataFrame:
     """Pages of two versions side by side, by a full outer join; a page that one lacks has no words there."""
     from leafloom.functions.text import words

@@ -33,7 +33,7 @@ def compare_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compare_bag_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words themselves, added ones in the new order and removed ones by first appearance."""
     old, new = _versions(spark, sf_dir)
-    out = diff.bag_diff(_words(old), _words(new), ("doc_id",))
+    out = diff.bag_diff_texts(old, new, ("doc_id",), "text")
     return out.select("doc_id", F.size("added").alias("n_added"), F.size("removed").alias("n_removed"), F.sha2(F.array_join("added", " "), 256).alias("added_sha256"), F.sha2(F.array_join("removed", " "), 256).alias("removed_sha256"))
 
 

@@ -162,6 +162,26 @@ def test_large_pages_compare_as_bags(monkeypatch):
     assert diff.sequence_diff("a b c d a".split(), "a c b d e".split()) == (["e"], ["a"])
 
 
+def test_bags_of_whole_texts(spark):
+    schema, rng = "doc_id long, text string", random.Random(5)
+    texts = lambda: [" ".join(rng.choices("a b c dd e\u0301 f".split(), k=rng.randrange(12))).replace("b c", "b\t\nc") for _ in range(30)]
+    rows = [[*enumerate(texts()), (40, "same words"), (41, None), (42, ""), (43, only), (None, "x y")] for only in ("old", "new")]
+    old, new = (spark.createDataFrame([*r, (50 + k, "b b a b")], schema) for k, r in enumerate(rows))
+    as_words = lambda df: df.select("doc_id", F.posexplode(text.words(F.col("text"))).alias("seq", "word"))
+    key = lambda df: sorted((str(r.doc_id), r.added, r.removed) for r in df.collect())
+    got = diff.bag_diff_texts(old, new, ("doc_id",), "text")
+    assert key(got) == key(diff.bag_diff(as_words(old), as_words(new), ("doc_id",)))
+    twice = diff.bag_diff_texts(spark.createDataFrame([(1, "a b"), (1, "c")], schema), spark.createDataFrame([(1, "c d a")], schema), ("doc_id",), "text")
+    assert key(twice) == [("1", ["d"], ["b"])]
+
+
+def test_bag_comparison_moves_texts_once(spark):
+    from leafloom.plans import comparisons
+
+    plan = comparisons.compare_bag_order(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and "Window" not in plan and "Generate" not in plan
+
+
 def test_full_outer_pages(spark):
     schema = "doc_id long, page int, page_text string"
     old, new = spark.createDataFrame([(1, 1, "a b")], schema), spark.createDataFrame([(1, 1, "a b"), (1, 2, "c d")], schema)
