@@ -14,11 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafloom.sources.pdf import scan, writer
-from leafloom.sources.pdf.content import Interpreter, operations, page_text
+from leafloom.sources.pdf.content import Interpreter, operations
 from leafloom.sources.pdf.document import Document
 from leafloom.sources.pdf.errors import PdfError
+from leafloom.sources.pdf.runs import COLUMNS, columns_of, text_of
 from leafloom.sources.pdf.validate import findings as file_findings
 
+#: Rows of several files that go out together.
+ROWS = 256
 BOX = "x float, y float, width float, height float"
 
 
@@ -34,14 +37,19 @@ def table(files: DataFrame, schema: str, rows: Callable[[Document], Iterator[tup
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([(n, _arrow(t)) for n, t in (c.split(None, 1) for c in _columns(full))])
+        together = lambda held: pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*held, strict=True), kinds, strict=True)], names)
         for batch in batches:
+            held: list[tuple] = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
-                    found = [(path, *r) for r in rows(Document(content.as_py() or b"", password))]
+                    held += [(path, *r) for r in rows(Document(content.as_py() or b"", password))]
                 except (PdfError, RecursionError):
                     continue
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*found, strict=True), kinds, strict=True)], names)
+                if len(held) >= ROWS:
+                    yield together(held)
+                    held = []
+            if held:
+                yield together(held)
 
     return files.select("path", "content").mapInArrow(run, full)
 
@@ -88,25 +96,41 @@ def pages(df: DataFrame) -> DataFrame:
         interpreter = Interpreter(doc)
         for p in doc.pages():
             b = p.box
-            yield p.number, b[0], b[1], b[2] - b[0], b[3] - b[1], p.rotation, page_text(interpreter.page(p).glyphs)
+            yield p.number, b[0], b[1], b[2] - b[0], b[3] - b[1], p.rotation, text_of(interpreter, p)
 
     return table(df, f"page int, {BOX}, rotation int, text string", rows)
 
 
-def text_runs(df: DataFrame) -> DataFrame:
-    """path, page, seq, text, box, font, size, mode of every run that is neither blank nor without area."""
+def text_runs(df: DataFrame, columns: tuple[str, ...] = tuple(COLUMNS)) -> DataFrame:
+    """path, page, seq, text, box, font, size, mode of every run that is neither blank nor without area; ``columns`` names those wanted besides path and page."""
+    kinds = pa.schema([("path", pa.string()), ("page", pa.int32()), *((k, COLUMNS[k]) for k in columns)])
+    schema = ", ".join(f"{f.name} {f.type}".replace("int32", "int") for f in kinds)
 
-    def rows(doc: Document) -> Iterator[tuple]:
-        interpreter = Interpreter(doc)
+    def found(path: str, content: bytes) -> list[pa.RecordBatch]:
+        doc = Document(content)
+        interpreter, out = Interpreter(doc), []
         for p in doc.pages():
-            for i, run in enumerate(interpreter.page(p).runs):
-                text = "".join(g.text for g in run)
-                x, y = min(g.x for g in run), min(g.y for g in run)
-                w, h = max(g.x + g.width for g in run) - x, max(g.y + g.height for g in run) - y
-                if text.strip() and w > 0 and h > 0:
-                    yield p.number, i, text, x, y, w, h, run[0].font, run[0].size, run[0].mode
-
-    return table(df, f"page int, seq int, text string, {BOX}, font string, size float, mode int", rows)
+            own = columns_of(interpreter, p, columns)
+            same = [pa.repeat(pa.scalar(v, type=f.type), len(own[0])) for v, f in zip((path, p.number), kinds, strict=False)]
+            out.append(pa.RecordBatch.from_arrays([*same, *own], schema=kinds))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, n = [], 0
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    own = [b for b in found(path, content.as_py() or b"") if b.num_rows]
+                except (PdfError, RecursionError):
+                    continue
+                held, n = held + own, n + sum(b.num_rows for b in own)
+                if n >= ROWS * 16:
+                    yield pa.concat_batches(held)
+                    held, n = [], 0
+            if held:
+                yield pa.concat_batches(held)
+
+    return df.select("path", "content").mapInArrow(run, schema)
 
 
 def glyphs(df: DataFrame) -> DataFrame:
