@@ -23,8 +23,8 @@ def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pdf_text_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text runs of the files by page: how many, and the sums of their places."""
-    runs = tables.text_runs(_files(spark, sf_dir))
-    return runs.groupBy(F.col("path").cast("long").alias("doc_id"), "page").agg(F.count(F.lit(1)).alias("n_runs"), F.sum(F.col("x").cast("double")).alias("sum_x"), F.sum(F.round(F.col("y") + 2.5, 3).cast("double")).alias("sum_y"), F.sum(F.round("width", 3).cast("double")).alias("sum_width"))
+    runs = tables.text_runs(_files(spark, sf_dir), ("x", "y", "width"))
+    return runs.groupBy(F.col("path").cast("long").alias("doc_id"), "page").agg(F.count(F.lit(1)).alias("n_runs"), F.sum(F.col("x").cast("double")).alias("sum_x"), F.sum(F.rint((F.col("y") + 2.5) * 1000) / 1000).alias("sum_y"), F.sum(F.rint(F.col("width").cast("double") * 1000) / 1000).alias("sum_width"))
 
 
 def pdf_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
