@@ -21,13 +21,13 @@ from leafloom.llm.shared import HotKeys, Workspace
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-    joined = HotKeys(least, ["a"], "n", 2 * total).join(both, least.drop("n"), ["b"])
+    joined = HotKeys(least, ["a"], "n", 2 * total, look=True).join(both, least.drop("n"), ["b"])
     return joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
     least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-    joined = HotKeys(least, ["a"], "n", total).join(edges, least.drop("n"), ["b"])
+    joined = HotKeys(least, ["a"], "n", total, look=True).join(edges, least.drop("n"), ["b"])
     moved = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 

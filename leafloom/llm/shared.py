@@ -45,21 +45,30 @@ class HotKeys:
     ``keyed`` has a row for each key and its number of rows in ``weight``. Of two tables
     joined by the key, the rows of the larger one are dealt to parts by ``by``, as many as
     the key has parts of the whole, and the other's one row is copied to each.
+
+    ``look`` finds the keys at once, which takes a job; most tables have none, and then
+    the joins are plain ones. The driver keeps threads and code for each broadcast, so
+    loops of joins do better to look; where ``keyed`` is dear, it is not made twice.
     """
 
     PARTS = 1000
 
-    def __init__(self, keyed: DataFrame, keys: list[str], weight: str, total: int | None = None) -> None:
+    def __init__(self, keyed: DataFrame, keys: list[str], weight: str, total: int | None = None, look: bool = False) -> None:
         self.keys = keys
         total = total or keyed.agg(F.sum(weight)).first()[0] or 1
         hot = keyed.filter(F.col(weight) * self.PARTS > total)
-        self.table = F.broadcast(hot.select(*keys, F.ceil(F.col(weight) * self.PARTS / total).cast("long").alias("_parts")))
+        found = hot.select(*keys, F.ceil(F.col(weight) * self.PARTS / total).cast("long").alias("_parts"))
+        rows = found.collect() if look else None
+        self.any = rows is None or bool(rows)
+        self.table = F.broadcast(found.sparkSession.createDataFrame(rows, found.schema) if rows else found)
 
     def _with_parts(self, df: DataFrame) -> DataFrame:
         return df.join(self.table, self.keys, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1).cast("long")))
 
     def join(self, many: DataFrame, one: DataFrame, by: list[str], keys: list[str] | None = None, how: str = "inner") -> DataFrame:
         """``many`` with ``one``; ``keys``, if others than the hot ones, include those."""
+        if not self.any:
+            return many.join(one, keys or self.keys, how)
         dealt = self._with_parts(many).withColumn("_part", F.pmod(F.xxhash64(*by), F.col("_parts"))).drop("_parts")
         copied = self._with_parts(one).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
         return dealt.join(copied, [*(keys or self.keys), "_part"], how).drop("_part")

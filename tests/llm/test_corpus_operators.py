@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from leafloom.llm import linededup, minhash, pitmanyor, textops, topk
 from leafloom.llm.components import components
-from leafloom.llm.shared import Workspace
+from leafloom.llm.shared import HotKeys, Workspace
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -528,3 +528,17 @@ def test_words_that_share_a_hash_are_told_apart(monkeypatch):
         assert len(first) == len(set(words)) and all(words[first[k]] == w for k, w in zip(kind, words, strict=True))
         strong = textops.strong_hashes(raw, start, end)
         assert len(set(strong.tolist())) == len(set(words))
+
+
+def test_joins_without_hot_keys_are_plain(spark):
+    many = spark.createDataFrame([(k, v) for k in range(1500) for v in range(2)] + [(None, 1)], "k long, v int")
+    one = spark.createDataFrame([(k, -k) for k in range(1500)], "k long, w long")
+    weighed = many.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    rows = lambda df: sorted(map(tuple, df.select("k", "v", "w").collect()), key=str)
+    for how in ("inner", "left"):
+        plain = HotKeys(weighed, ["k"], "n", look=True)
+        assert not plain.any and rows(plain.join(many, one, ["v"], how=how)) == rows(HotKeys(weighed, ["k"], "n").join(many, one, ["v"], how=how))
+    text = plain.join(many, one, ["v"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "_part" not in text
+    hot = HotKeys(weighed, ["k"], "n", total=300, look=True)
+    assert hot.any and rows(hot.join(many, one, ["v"])) == rows(many.join(one, "k"))
