@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from leafloom.session import spread, table
 
 _KEY = "spark.checkpoint.dir"
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def root(spark: SparkSession) -> str:
@@ -95,9 +96,16 @@ class Workspace:
     def at(self, table: str) -> str:
         return f"{self.path}/{table}"
 
-    def written(self, df: DataFrame, table: str) -> DataFrame:
-        """Writes the rows and returns them as read again."""
-        df.write.mode("overwrite").parquet(self.at(table))
+    def written(self, df: DataFrame, table: str, tidy: bool = False) -> DataFrame:
+        """Writes the rows and returns them as read again; ``tidy`` removes the shuffle files of the write at once, so nothing else may share them."""
+        before = self.spark.conf.get(_TIDY, None)
+        if tidy:
+            self.spark.conf.set(_TIDY, "true")
+        try:
+            df.write.mode("overwrite").parquet(self.at(table))
+        finally:
+            if tidy:
+                self.spark.conf.unset(_TIDY) if before is None else self.spark.conf.set(_TIDY, before)
         return self.spark.read.schema(df.schema).parquet(self.at(table))
 
     def drop(self, *tables: str) -> None:

@@ -499,6 +499,37 @@ def test_language_model_equals_a_plain_sampler(spark, monkeypatch):
         assert [got[i] for i, _ in rows] == pytest.approx(want, rel=1e-12)
 
 
+def test_rare_context_words_have_restaurants_whatever_the_size(spark, monkeypatch):
+    # the plain sampler's limit is lowered to two; words of one occurrence and unseen ones differ in their last byte, so its
+    # classes hold one word each, and the former have the highest hashes, as it numbers only the other words
+    rng = random.Random(4)
+    name = lambda w: int(textops.strong_hashes(np.frombuffer(w.encode(), dtype=np.uint8), np.array([0]), np.array([len(w)]))[0])
+    top = max(int(pitmanyor.END), *(name(w) for w in ["the", "of", "a", *(f"{x}{k}" for x in "pq" for k in range(12))]))
+    once = [next(w for w in (f"{j}-{end}" for j in range(10**6)) if name(w) > top) for end in "abcdefgh"]
+    train, held = ([i for i in range(90) if pitmanyor.is_held_out(i) == x] for x in (False, True))
+    texts = {i: rng.choices(["the", "of", "a"], k=14) for i in range(90)}
+    for k in range(12):
+        for i in rng.sample(train, 2 + k % 2):
+            texts[i] += [f"p{k}", f"q{k}"]
+        texts[held[k]] += [f"p{k}", f"q{k}", "new-" + "{|}~"[k % 4], "of"]
+    for k, w in enumerate(once):
+        texts[train[k]] += [w, "the"]
+        texts[held[k]] += [w, "the"]
+    counts = Counter(w for i in train for w in texts[i])
+    assert math.sqrt(sum(counts.values()) + len(train)) / pitmanyor.CONTEXT_STEP > 3 and sorted({counts[w] for w in counts if w not in ("the", "of", "a")}) == [1, 2, 3]
+    rows, s = [(i, " ".join(x)) for i, x in texts.items()], pitmanyor.Sweeps()
+    df, step = spark.createDataFrame(rows, "doc_id long, text string"), pitmanyor.CONTEXT_STEP
+    monkeypatch.setattr(pitmanyor, "CONTEXT_STEP", 1e9)
+    want, sums = plain_model(rows, s)
+    assert sums == pytest.approx([1.0] * len(sums))
+    monkeypatch.setattr(pitmanyor, "BLOCK_TOKENS", 200)
+    monkeypatch.setattr(pitmanyor, "BUCKET_WORDS", 20)
+    for deal in (step, 0.2, 1e9):  # which words are dealt by pair is no matter
+        monkeypatch.setattr(pitmanyor, "CONTEXT_STEP", deal)
+        got = {r.doc_id: r.score for r in pitmanyor.score_texts(df, Workspace(spark, "test"), sweeps=s).collect()}
+        assert [got[i] for i, _ in rows] == pytest.approx(want, rel=1e-12)
+
+
 def test_seating_follows_the_restaurant():
     # a one-dish restaurant of strength 1 and discount 0.5: the mean number of tables is known
     s, d = 1.0, 0.5
