@@ -34,13 +34,13 @@ def _small_star(edges: DataFrame, total: int) -> DataFrame:
 
 def components(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
     """node, component (the smallest node reachable) for every node of the edges (a, b) but the smallest ones themselves."""
-    now = space.written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), f"{name}-0")
+    now = space.written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), f"{name}-0", few=True)
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first())
     before, k = mark(now), 0
     while True:
         k += 1
         # a large star moves edges and adds none
-        after = space.written(_small_star(_large_star(now, before[0]), before[0]), f"{name}-{k}")
+        after = space.written(_small_star(_large_star(now, before[0]), before[0]), f"{name}-{k}", few=True)
         seen = mark(after)
         space.drop(f"{name}-{k - 1}")
         now = after

@@ -131,7 +131,7 @@ def _later(docs: DataFrame, id_col: str, text_col: str, passage_words: int) -> D
         .select("_ll_id", "_ll_hash", "c.no", "c.h")
     )
     space = Workspace(docs.sparkSession, "lines")
-    repeated = space.written(spread.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("origin")).filter("n > 1"), "repeated")
+    repeated = space.written(spread.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("origin")).filter("n > 1"), "repeated", few=True)
     hot, ids_only = HotKeys(repeated, ["h"], "n"), ["_ll_id", "_ll_hash"]
     named = hot.join(spread, repeated.drop("n"), ids_only).select("_ll_id", "_ll_hash", "no", place.eqNullSafe(F.col("origin")).alias("is_first"))
     lists = named.groupBy("_ll_id", "_ll_hash").agg(F.array_sort(F.collect_set(F.struct("no", "is_first"))).alias("_ll_named"))

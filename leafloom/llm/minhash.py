@@ -289,32 +289,32 @@ def near_duplicates(df: DataFrame, space: Workspace, id_col: str = "doc_id", tex
     equal = ["f1", "f2", "n"]
     some = docs.filter("n > 0 and id is not null")
     # equal sets have equal registers
-    classes = space.written(some.groupBy(*equal).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c"), F.first("regs").alias("regs")), "classes")
+    classes = space.written(some.groupBy(*equal).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c"), F.first("regs").alias("regs")), "classes", few=True)
     reps = classes.select(F.col("rep").alias("id"), "n", "regs")
 
     keys = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS // BAND - 1)), lambda b: F.xxhash64(b, F.substring("regs", b * (2 * BAND) + 1, F.lit(2 * BAND))))
     bands = reps.select("id", F.explode(keys).alias("key"))
-    hubs = space.written(bands.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1"), "hubs")
-    groups = space.written(HotKeys(hubs, ["key"], "c", look=True).join(bands, hubs.drop("c"), ["id"]).select("hub", "id"), "groups")
+    hubs = space.written(bands.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1"), "hubs", few=True)
+    groups = space.written(HotKeys(hubs, ["key"], "c", look=True).join(bands, hubs.drop("c"), ["id"]).select("hub", "id"), "groups", few=True)
     sets = space.written(sets_of(df, groups.select("id").distinct(), id_col, text_col, size), "sets")
 
     often = groups.filter("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("c"))
     first = often.groupBy("id").agg(F.max(F.struct("c", (-F.col("hub")).alias("h"))).alias("m")).select(F.col("id").alias("a"), (-F.col("m.h")).alias("b"))
-    first = space.written(first, "first")
+    first = space.written(first, "first", few=True)
     hot = HotKeys(first.groupBy("b").agg(F.count(F.lit(1)).alias("c")), ["b"], "c", look=True)
     # rows of one id are one document, so an id links the classes of all its texts
     several = some.groupBy("id").agg(F.min(F.struct(*equal)).alias("lo"), F.max(F.struct(*equal)).alias("hi")).filter("lo <> hi").select("id")
     own = some.select("id", *equal).join(several, "id").join(classes.select(*equal, "rep"), equal).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = space.written(_links(_promising(first, reps, percent, hot), sets, percent, hot).unionAll(own), "links")
+    links = space.written(_links(_promising(first, reps, percent, hot), sets, percent, hot).unionAll(own), "links", few=True)
     comp = components(links, space, "comp-a")
 
     # two classes that share a band share its group's hub, so what is left lies among the members of one hub
     placed = groups.select("hub", "id").distinct().join(comp.withColumnRenamed("node", "id"), "id", "left").select("hub", "id", F.coalesce("component", "id").alias("comp"))
     parts = placed.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("c"))
     split = parts.groupBy("hub").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    split = space.written(split.select("hub", F.col("top.comp").alias("top"), "size", (F.col("size") - F.col("top.c")).alias("n_out")), "split")
+    split = space.written(split.select("hub", F.col("top.comp").alias("top"), "size", (F.col("size") - F.col("top.c")).alias("n_out")), "split", few=True)
     left = HotKeys(split, ["hub"], "size", look=True).join(placed, split, ["id"]).join(reps, "id").join(sets, "id").select("hub", "id", "comp", F.size("s").cast("long").alias("n"), "regs", "s", (F.col("comp") != F.col("top")).alias("out"), "size", "n_out")
-    more = space.written(_linked_blocks(left, percent), "links-more")
+    more = space.written(_linked_blocks(left, percent), "links-more", few=True)
     comp = components(links.unionAll(more), space, "comp-b")
 
     labels = classes.select("rep", *equal).join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(*equal, F.coalesce("component", "rep").alias("component"))

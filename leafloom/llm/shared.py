@@ -19,6 +19,11 @@ from leafloom.session import spread, table
 
 _KEY = "spark.checkpoint.dir"
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: On a local file system Hadoop starts a process to set the rights of every file and folder that it makes, and one more for its
+#: checksum file. Parquet's pages have checksums of their own, which reading verifies, and nobody looks for a mark of success.
+_RAW = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+_UNMARKED = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+_VERIFIED = {"parquet.page.verify-checksum.enabled": "true"}
 
 
 def root(spark: SparkSession) -> str:
@@ -96,17 +101,28 @@ class Workspace:
     def at(self, table: str) -> str:
         return f"{self.path}/{table}"
 
-    def written(self, df: DataFrame, table: str, tidy: bool = False) -> DataFrame:
-        """Writes the rows and returns them as read again; ``tidy`` removes the shuffle files of the write at once, so nothing else may share them."""
+    def _writing(self) -> dict[str, str]:
+        own = self.spark.sparkContext._jsc.hadoopConfiguration().get("fs.file.impl")
+        return _UNMARKED if own else _UNMARKED | _RAW
+
+    def written(self, df: DataFrame, table: str, tidy: bool = False, few: bool = False) -> DataFrame:
+        """Writes the rows and returns them as read again.
+
+        ``tidy`` removes the shuffle files of the write at once, so nothing else may share
+        them. ``few`` is for rows without texts: a task writes those of several partitions to one
+        file, four files a core, however many shuffle partitions there are.
+        """
+        if few:
+            df = df.coalesce(max(24, 4 * self.spark.sparkContext.defaultParallelism))
         before = self.spark.conf.get(_TIDY, None)
         if tidy:
             self.spark.conf.set(_TIDY, "true")
         try:
-            df.write.mode("overwrite").parquet(self.at(table))
+            df.write.mode("overwrite").options(**self._writing()).parquet(self.at(table))
         finally:
             if tidy:
                 self.spark.conf.unset(_TIDY) if before is None else self.spark.conf.set(_TIDY, before)
-        return self.spark.read.schema(df.schema).parquet(self.at(table))
+        return self.spark.read.schema(df.schema).options(**_VERIFIED).parquet(self.at(table))
 
     def drop(self, *tables: str) -> None:
         for table in tables:

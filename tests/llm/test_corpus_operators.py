@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -573,3 +574,37 @@ def test_joins_without_hot_keys_are_plain(spark):
     assert "_part" not in text
     hot = HotKeys(weighed, ["k"], "n", total=300, look=True)
     assert hot.any and rows(hot.join(many, one, ["v"])) == rows(many.join(one, "k"))
+
+
+def test_intermediate_tables_have_few_files(spark):
+    """On a local file system every file and folder takes a process of the executor, so none is made that nobody reads."""
+    space, held = Workspace(spark, "test"), {"spark.sql.shuffle.partitions": "100", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    edges = [(i, i - 1) for i in range(1, 40)] + [(1000 + i, 1000) for i in range(1, 400)]
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        whole = space.written(spark.range(5000).repartition(60), "whole")
+        few = space.written(spark.range(5000).repartition(60), "few", few=True)
+        comp = components(spark.createDataFrame(edges, "a long, b long"), space, "c")
+        assert whole.count() == few.count() == 5000 and few.agg(F.sum("id")).first()[0] == 5000 * 4999 // 2
+        assert {r.node: r.component for r in comp.collect()} == {a: 0 if a < 1000 else 1000 for a, _ in edges}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = {t.name: [f.name for f in t.iterdir() if not (f.name.startswith("part-") and f.name.endswith(".parquet"))] for t in Path(space.path.removeprefix("file://")).iterdir()}
+    assert {"whole", "few"} < set(files) and not any(files.values())
+    counts = {t: len(list(Path(space.path.removeprefix("file://"), t).iterdir())) for t in files}
+    assert counts["whole"] == 60 and all(n <= 24 for t, n in counts.items() if t != "whole")
+
+
+def test_a_damaged_intermediate_table_is_not_read(spark):
+    space = Workspace(spark, "test")
+    table = space.written(spark.range(5000).select(F.sha2(F.col("id").cast("string"), 256).alias("v")).coalesce(1), "t")
+    assert table.filter("length(v) = 64").count() == 5000
+    (path,) = Path(space.path.removeprefix("file://"), "t").iterdir()
+    data = bytearray(path.read_bytes())
+    data[len(data) // 2] ^= 1
+    path.write_bytes(data)
+    with pytest.raises(Exception, match="(?i)checksum|crc"):
+        table.agg(F.max("v")).collect()
